@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chunking, packing, terms
+from sluiceway.llm import chunking, contamination, packing, terms
 from sluiceway.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,21 @@ def p4_terms(spark: SparkSession, base: str) -> DataFrame:
 @query
 def p6_packed(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents"), "doc_id", "text")
+
+
+# --- 7: held-out items in the corpus
+
+
+@query
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return _leaks(spark, base).select("doc_id", "item_id")
+
+
+@query
+def p7_items(spark: SparkSession, base: str) -> DataFrame:
+    """Per held-out item that leaked: how many documents hold it, and the longest run of its words."""
+    return _leaks(spark, base).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"))
+
+
+def _leaks(spark: SparkSession, base: str) -> DataFrame:
+    return contamination.find_leaks(table(spark, base, "documents"), table(spark, base, "bench_items"))
