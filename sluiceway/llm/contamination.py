@@ -115,13 +115,9 @@ def signature(distinct_sorted: np.ndarray, cls: int) -> np.ndarray:
     return distinct_sorted[first]
 
 
-def _salted(minima: np.ndarray, cls: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (minima ^ (np.uint64(cls + 1) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64)
-
-
 def signatures(df: DataFrame, key: str, text: str, as_queries: bool = False) -> DataFrame:
-    """One row (``key``, ``minimum``) per minimum of each text: in its own size class, or in every class for queries."""
+    """One row (``key``, ``minimum``) per minimum of each text's signature: that of its own size class, or those of
+    all classes for queries. A minimum is the shingle's hash, whatever the class, so it is listed once."""
     import pyarrow as pa
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +129,13 @@ def signatures(df: DataFrame, key: str, text: str, as_queries: bool = False) ->
                 distinct = np.unique(shingle_hashes(word_hashes(s)))
                 if not len(distinct):
                     continue
-                own = size_class(len(distinct))
-                for cls in range(MAX_CLASS) if as_queries else (own,):
-                    m = _salted(signature(distinct, cls), cls)
-                    keys.append(k)
-                    counts.append(len(m))
-                    parts.append(m)
+                if as_queries:  # what is a minimum in the signature of any class
+                    m = np.unique(np.concatenate([signature(distinct, cls) for cls in range(MAX_CLASS)]))
+                else:
+                    m = signature(distinct, size_class(len(distinct)))
+                keys.append(k)
+                counts.append(len(m))
+                parts.append(m.view(np.int64))
             flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
             col = pa.array(keys, batch.schema.field(0).type).take(pa.array(np.repeat(np.arange(len(keys)), counts)))
             yield pa.RecordBatch.from_arrays([col, pa.array(flat)], names=["key", "minimum"])
