@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chunking, contamination, packing, terms
+from sluiceway.llm import chunking, contamination, packing, residue, terms
 from sluiceway.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,24 @@ def p7_items(spark: SparkSession, base: str) -> DataFrame:
 
 def _leaks(spark: SparkSession, base: str) -> DataFrame:
     return contamination.find_leaks(table(spark, base, "documents"), table(spark, base, "bench_items"))
+
+
+# --- 8: template residue, filler, error pages and script notices
+
+
+@query
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return residue.find_residue(table(spark, base, "documents")).select("doc_id")
+
+
+@query
+def p8_kinds(spark: SparkSession, base: str) -> DataFrame:
+    """The excluded documents with the kinds of evidence in each."""
+    return residue.find_residue(table(spark, base, "documents")).select("doc_id", F.concat_ws(",", "kinds").alias("kinds"))
+
+
+@query
+def p8_corpus(spark: SparkSession, base: str) -> DataFrame:
+    """The corpus without the excluded documents."""
+    docs = table(spark, base, "documents")
+    return docs.join(residue.find_residue(docs), "doc_id", "left_anti").select("doc_id", "source", "lang", "text")
