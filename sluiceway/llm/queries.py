@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chunking, contamination, packing, residue, terms
+from sluiceway.llm import chunking, contamination, overlap, packing, residue, terms
 from sluiceway.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,32 @@ def query(f):
     return f
 
 
+# --- 1: the same question in two splits
+
+
+def _questions(spark: SparkSession, base: str) -> DataFrame:
+    columns = ("rec_id", "query", "split", "source")
+    return table(spark, base, "case_scores").select(*columns).unionByName(table(spark, base, "eval_rows").select(*columns))
+
+
+@query
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    found = overlap.expand(*overlap.find_pairs(_questions(spark, base)))
+    return found.select(F.least("train_rec", "other_rec").alias("rec_a"), F.greatest("train_rec", "other_rec").alias("rec_b"))
+
+
+@query
+def p1_report(spark: SparkSession, base: str) -> DataFrame:
+    """Per split and source: its records, those that occur in train, and how much of them is covered at best on average."""
+    records = _questions(spark, base)
+    pairs, members = overlap.find_pairs(records)
+    best = pairs.groupBy("other_tid").agg(F.max("coverage").alias("coverage"))
+    hit = members.where("split <> 'train'").join(best, F.col("tid") == F.col("other_tid")).groupBy("split", "source").agg(F.count("*").alias("overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    total = records.where("split <> 'train'").groupBy("split", "source").agg(F.count("*").alias("records"))
+    hit = hit.select(F.col("split").alias("s"), F.col("source").alias("o"), "overlapping", "mean_coverage")
+    return total.join(hit, (F.col("split") == F.col("s")) & F.col("source").eqNullSafe(F.col("o")), "left").select("split", "source", "records", F.coalesce("overlapping", F.lit(0)).alias("overlapping"), "mean_coverage")
+
+
 # --- 2: cutting oversized texts
 
 
