@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.session import broadcast_if_small
+from sluiceway.session import broadcast_if_small, cut
 
 SHINGLE = 5
 MIN_RUN = 15
@@ -36,6 +36,8 @@ REPLACED_OF = 10
 MIN_SHARED = 2
 BINS_PER_SHINGLE = 8
 MAX_CLASS = 40
+#: So many meetings of a document and an item (16 bytes each) are sent to all executors at most; more are joined by a shuffle.
+BROADCAST_PAIRS = 2_000_000
 
 _ESCAPES = re.compile(r"\\(?:u([0-9a-fA-F]{4})|[nrt\"'/\\])")
 _TAGS = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|<!--.*?-->")
@@ -187,36 +189,42 @@ def find_leaks(
         .groupBy("doc", "item").agg(F.count("*").alias("shared"))
         .where(F.col("shared") >= MIN_SHARED)
     )
+    met = cut(met)
+    small = met.count() <= BROADCAST_PAIRS
     wanted = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).where("item_text is not null")
+    # only a few documents met an item: their keys go to where the texts are read, if they are few enough for that
+    by_doc = met.groupBy("doc").agg(F.collect_set("item").alias("items"))
+    texts = docs.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("doc_text"))
     pairs = (
-        met.join(broadcast_if_small(wanted), "item")
-        .groupBy("doc").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
-        .join(docs.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("doc_text")), "doc")
+        texts.join(F.broadcast(by_doc) if small else by_doc, "doc")
+        .select("doc", "doc_text", F.explode("items").alias("item"))
+        .join(broadcast_if_small(wanted), "item")
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
         for batch in batches:
             out_d, out_i, out_n = [], [], []
-            for d, its, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            last, doc = None, None
+            for d, it, s, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if s is None:
                     continue
-                doc = word_hashes(s)
-                for it in its:
-                    text = it["item_text"]
-                    if text not in known:
-                        if len(known) > 20_000:
-                            known.clear()
-                        known[text] = word_hashes(text)
-                    if n := longest_run(doc, known[text], min_run, replaced_of):
-                        out_d.append(d)
-                        out_i.append(it["item"])
-                        out_n.append(n)
+                if s is not last:  # a document's items come one after the other
+                    doc = doc if s == last else word_hashes(s)
+                    last = s
+                if text not in known:
+                    if len(known) > 20_000:
+                        known.clear()
+                    known[text] = word_hashes(text)
+                if n := longest_run(doc, known[text], min_run, replaced_of):
+                    out_d.append(d)
+                    out_i.append(it)
+                    out_n.append(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_d, batch.schema.field(0).type), pa.array(out_i, batch.schema.field(1).type.value_type.field(0).type), pa.array(out_n, pa.int32())],
+                [pa.array(out_d, batch.schema.field(0).type), pa.array(out_i, batch.schema.field(1).type), pa.array(out_n, pa.int32())],
                 names=["doc", "item", "run_words"],
             )
 
     kinds = f"doc {docs.schema[doc_key].dataType.simpleString()}, item {items.schema[item_key].dataType.simpleString()}, run_words int"
-    found = pairs.select("doc", "items", "doc_text").mapInArrow(verify, kinds)
+    found = pairs.select("doc", "item", "doc_text", "item_text").mapInArrow(verify, kinds)
     return found.groupBy(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).agg(F.max("run_words").alias("run_words"))
