@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chunking, contamination, overlap, packing, residue, terms
+from sluiceway.llm import chunking, contamination, overlap, packing, pii, residue, terms
 from sluiceway.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,39 @@ def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
     return cut.select("row_id", F.inline("pieces"))
 
 
+# --- 3: personal information
+
+PERSONAL_FIELDS = (("ops_docs", "row_id", "body"), ("case_scores", "rec_id", "query"), ("case_scores", "rec_id", "reason"))
+
+
+def _personal_model(spark: SparkSession, base: str) -> pii.Model:
+    texts = [(table(spark, base, name), key, column) for name, key, column in PERSONAL_FIELDS]
+    return pii.fit_on(texts, table(spark, base, "staff_roster"))
+
+
+@query
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    model = _personal_model(spark, base)
+    out = None
+    for name, key, column in PERSONAL_FIELDS:
+        part = pii.tag(table(spark, base, name), key, column, model)
+        part = part.select(F.lit(f"{name}.{column}").alias("field"), F.col(key).alias("rec_id"), "kind", "nth")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def p3_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """All texts of the three fields with placeholders for personal information."""
+    model = _personal_model(spark, base)
+    out = None
+    for name, key, column in PERSONAL_FIELDS:
+        part = pii.redact_column(table(spark, base, name).select(key, column), column, model)
+        part = part.select(F.lit(f"{name}.{column}").alias("field"), F.col(key).alias("rec_id"), "redacted")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- 4: term frequencies
 
 TERM_FIELDS = (("ops_docs", "body"), ("case_scores", "query"))
