@@ -130,6 +130,7 @@ def split_oversized(
     n = F.length(text)
     whole = F.array(F.struct(F.lit(0).alias("piece"), F.lit(0).alias("start"), n.alias("end"), F.lit("end").alias("boundary"), F.col(text).alias("text")))
     keep = [c for c in df.columns if c not in ("pieces", "n_chars", "longest_run")]
-    big = df.withColumn("__cut", cut(F.when(n > limit, F.col(text))))
+    # marked so that a later filter on the pieces doesn't run the function a second time
+    big = df.withColumn("__cut", cut.asNondeterministic()(F.when(n > limit, F.col(text))))
     pieces = F.when(n > limit, F.col("__cut.pieces")).when(n.isNotNull(), whole).otherwise(F.array().cast("array<struct<piece:int,start:int,end:int,boundary:string,text:string>>"))
     return big.select(*keep, n.alias("n_chars"), F.col("__cut.longest_run").alias("longest_run"), pieces.alias("pieces"))
