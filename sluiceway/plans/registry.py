@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.functions import text as X
+from sluiceway.operators import answer, corpus, evaluate, freshness, grounding, hazard, lexicon, policy, retrieve, train
 from sluiceway.operators.timestamps import normalise_timestamps
+from sluiceway.plans import engine
 from sluiceway.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,8 +27,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def flagship(spark: SparkSession, base: str) -> DataFrame:
-    return QUERIES["p5_found"](spark, base)
+# --- 5: timestamps
 
 
 def _instants(spark: SparkSession, base: str) -> DataFrame:
@@ -42,3 +44,392 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 def p5_normalised(spark: SparkSession, base: str) -> DataFrame:
     """Every row with its instant, if any, and what fixed it or why there is none."""
     return _instants(spark, base).select("row_id", "updated_at", "source_system", "utc_us", F.col("utc_us_how").alias("how"))
+
+
+# --- the corpus
+
+N_BODY, N_QUERY = X.normalize_sql("body"), X.normalize_sql("query")
+STOP = X.stop_sql()
+LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC, row_id DESC) AS r FROM ops_docs WHERE doc_id IS NOT NULL) WHERE r = 1)"
+CHUNKS = f"""{LATEST}, parts AS (SELECT doc_id, coalesce(title, '') AS title, {X.paragraphs_sql("coalesce(body, '')")} AS ps, title AS t0, body AS b0 FROM latest),
+chunks AS (SELECT doc_id, title, pos - 1 AS pos, text, doc_id || '::p' || (pos - 1) AS chunk_id FROM
+  (SELECT doc_id, title, unnest(CASE WHEN len(ps) = 0 THEN [coalesce(nullif(trim(coalesce(b0, ''), ' '), ''), t0, '')] ELSE ps END) AS text,
+          unnest(range(1, CASE WHEN len(ps) = 0 THEN 2 ELSE len(ps) + 1 END)) AS pos FROM parts))"""
+TOKS = X.tokens_sql(X.normalize_sql("title || ' ' || text"))
+POSTINGS = f"""{CHUNKS}, tok AS (SELECT chunk_id, {TOKS} AS toks FROM chunks),
+post AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM tok) GROUP BY ALL),
+stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM tok), freq AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+ASKED = "asked AS (SELECT rec_id AS query_id, query FROM eval_rows WHERE rec_id % 100 = 0 AND query IS NOT NULL)"
+QTERMS = f"{ASKED}, qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({X.tokens_sql(N_QUERY)}) AS term FROM asked) GROUP BY ALL)"
+BM25 = f"""{POSTINGS}, {QTERMS}, bm AS (SELECT query_id, chunk_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS bm25
+FROM post JOIN qt USING (term) JOIN freq USING (term) CROSS JOIN stats GROUP BY ALL)"""
+COSINE = """w AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS w FROM freq CROSS JOIN stats), dv AS (SELECT chunk_id, term, tf * w AS dw FROM post JOIN w USING (term)),
+dn AS (SELECT chunk_id, sqrt(sum(dw * dw)) AS dn FROM dv GROUP BY chunk_id), qv AS (SELECT query_id, term, qtf * w AS qw FROM qt JOIN w USING (term)), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qv GROUP BY query_id),
+cs AS (SELECT query_id, chunk_id, round(sum(dw * qw) / any_value(dn * qn), 6) AS cosine FROM dv JOIN qv USING (term) JOIN dn USING (chunk_id) JOIN qn USING (query_id) GROUP BY ALL)"""
+
+
+def _chunks(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "ops_docs").select("row_id", "doc_id", "title", "body", "ingested_at")
+    return corpus.chunks(corpus.latest_documents(docs))
+
+
+def _asked(spark: SparkSession, base: str) -> DataFrame:
+    """The stated query set of searches: every row whose id is divisible by 100."""
+    return table(spark, base, "eval_rows").where("rec_id % 100 = 0 and query is not null").select(F.col("rec_id").alias("query_id"), "query")
+
+
+@query("latest_documents", f"WITH {LATEST} SELECT doc_id, row_id, title, source_system FROM latest")
+def latest_documents(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "ops_docs").select("row_id", "doc_id", "title", "source_system", "ingested_at")
+    return corpus.latest_documents(docs).select("doc_id", "row_id", "title", "source_system")
+
+
+@query("chunk_documents", f"WITH {CHUNKS} SELECT chunk_id, doc_id, pos::INT AS pos, title, text, length(text) AS chars FROM chunks")
+def chunk_documents(spark: SparkSession, base: str) -> DataFrame:
+    return _chunks(spark, base).select("chunk_id", "doc_id", "pos", "title", "text", F.length("text").alias("chars"))
+
+
+@query("normalize_text", f"SELECT row_id, {N_BODY} AS normal FROM ops_docs")
+def normalize_text(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "ops_docs").select("row_id", X.normalize_text(F.col("body")).alias("normal"))
+
+
+@query("token_counts", f"SELECT term, count(*) AS occurrences, count(DISTINCT row_id) AS rows_with FROM (SELECT row_id, unnest({X.tokens_sql(N_BODY)}) AS term FROM ops_docs) GROUP BY term")
+def token_counts(spark: SparkSession, base: str) -> DataFrame:
+    t = table(spark, base, "ops_docs").select("row_id", F.explode(X.tokens(X.normalize_text(F.col("body")))).alias("term"))
+    per_row = t.groupBy("term", "row_id").agg(F.count("*").alias("c"))
+    return per_row.groupBy("term").agg(F.sum("c").alias("occurrences"), F.count("*").alias("rows_with"))
+
+
+@query("content_tokens", f"SELECT rec_id, array_to_string(list_filter({X.tokens_sql(N_QUERY)}, lambda t: NOT list_contains({STOP}, t)), ' ') AS content FROM case_scores")
+def content_tokens(spark: SparkSession, base: str) -> DataFrame:
+    toks = X.content_tokens(X.tokens(X.normalize_text(F.col("query"))))
+    return table(spark, base, "case_scores").select("rec_id", F.array_join(toks, " ").alias("content"))
+
+
+@query("sentences", f"SELECT row_id, unnest(s) AS sentence, (unnest(range(0, len(s))))::INT AS n FROM (SELECT row_id, {X.sentences_sql('body')} AS s FROM ops_docs)")
+def sentences(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "ops_docs").select("row_id", F.posexplode(X.split_sentences(F.col("body"))).alias("n", "sentence")).select("row_id", "sentence", "n")
+
+
+@query("plural_folds", f"SELECT DISTINCT term, {X.fold_sql('term')} AS folded FROM (SELECT unnest({X.tokens_sql(N_BODY)}) AS term FROM ops_docs)")
+def plural_folds(spark: SparkSession, base: str) -> DataFrame:
+    t = table(spark, base, "ops_docs").select(F.explode(F.array_distinct(X.tokens(X.normalize_text(F.col("body"))))).alias("term")).distinct()
+    return t.select("term", X.fold_token(F.col("term")).alias("folded"))
+
+
+@query("document_frequency", f"WITH {POSTINGS} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM freq CROSS JOIN stats")
+def document_frequency(spark: SparkSession, base: str) -> DataFrame:
+    ch = _chunks(spark, base)
+    out = corpus.with_idf(corpus.document_frequency(corpus.postings(ch)), corpus.statistics(ch))
+    return out.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+# --- ranking
+
+
+def _ranked(spark: SparkSession, base: str) -> tuple:
+    ch = _chunks(spark, base)
+    post = corpus.postings(ch)
+    return _asked(spark, base), ch, post, corpus.document_frequency(post), corpus.statistics(ch)
+
+
+@query("bm25_topk", f"WITH {BM25} SELECT query_id, chunk_id, bm25, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5")
+def bm25_topk(spark: SparkSession, base: str) -> DataFrame:
+    q, _, post, freq, stats = _ranked(spark, base)
+    return retrieve.top_k(retrieve.bm25(q, post, freq, stats), "bm25", 5)
+
+
+@query("tfidf_topk", f"WITH {POSTINGS}, {QTERMS}, {COSINE} SELECT query_id, chunk_id, cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM cs) WHERE rank <= 5")
+def tfidf_topk(spark: SparkSession, base: str) -> DataFrame:
+    q, _, post, freq, stats = _ranked(spark, base)
+    return retrieve.top_k(retrieve.tfidf_cosine(q, post, freq, stats), "cosine", 5)
+
+
+HYBRID = f"""{BM25}, {COSINE}, hy AS (SELECT query_id, chunk_id, bm25, coalesce(cosine, 0) AS cosine, round(bm25 + 0.3 * coalesce(cosine, 0) * greatest(max(bm25) OVER (PARTITION BY query_id), 1.0), 6) AS score FROM bm LEFT JOIN cs USING (query_id, chunk_id)),
+shared AS (SELECT DISTINCT query_id, chunk_id FROM qt JOIN post USING (term) WHERE NOT list_contains({STOP}, term)),
+kept AS (SELECT hy.*, row_number() OVER (PARTITION BY hy.query_id ORDER BY score DESC, hy.chunk_id) AS rank FROM hy LEFT JOIN shared s ON s.query_id = hy.query_id AND s.chunk_id = hy.chunk_id
+  WHERE NOT (bm25 < 1.15 AND cosine < 0.08) AND (s.query_id IS NOT NULL OR bm25 >= 1.5 * 1.15))"""
+
+
+@query("hybrid_topk", f"WITH {HYBRID} SELECT query_id, chunk_id, bm25, cosine, score, rank::INT AS rank FROM kept WHERE rank <= 5")
+def hybrid_topk(spark: SparkSession, base: str) -> DataFrame:
+    return retrieve.search(*_ranked(spark, base))
+
+
+def _grams_sql(expr: str) -> str:
+    p = "(' ' || w || ' ')"
+    per_word = f"list_transform(list_filter([3, 4, 5], lambda n: n <= length{p} OR n = 3), lambda n: list_transform(range(1, greatest(length{p} - n + 1, 1) + 1), lambda i: substr({p}, i, n)))"
+    return f"flatten(flatten(list_transform(list_filter(string_split({X.normalize_sql(expr)}, ' '), lambda w: w <> ''), lambda w: {per_word})))"
+
+
+@query(
+    "title_gram_topk",
+    f"""WITH {CHUNKS}, {ASKED}, tg AS (SELECT title, g, count(*) AS tc FROM (SELECT title, unnest({_grams_sql('title')}) AS g FROM (SELECT DISTINCT title FROM chunks WHERE title <> '')) GROUP BY ALL),
+qg AS (SELECT query_id, g, count(*) AS qc FROM (SELECT query_id, unnest({_grams_sql('query')}) AS g FROM asked) GROUP BY ALL), tn AS (SELECT title, sqrt(sum(tc * tc)) AS tn FROM tg GROUP BY title), qn AS (SELECT query_id, sqrt(sum(qc * qc)) AS qn FROM qg GROUP BY query_id),
+cs AS (SELECT query_id, title, round(sum(tc * qc) / any_value(tn * qn), 6) AS cosine FROM tg JOIN qg USING (g) JOIN tn USING (title) JOIN qn USING (query_id) GROUP BY ALL)
+SELECT query_id, title, cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, title) AS rank FROM cs) WHERE rank <= 5""",
+)
+def title_gram_topk(spark: SparkSession, base: str) -> DataFrame:
+    return retrieve.top_k(retrieve.title_cosine(_asked(spark, base), _chunks(spark, base)), "cosine", 5, ties="title")
+
+
+@query(
+    "embedding_topk",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS cosine FROM embeddings JOIN q ON vec_id <> query_id)
+SELECT query_id, vec_id, cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def embedding_topk(spark: SparkSession, base: str) -> DataFrame:
+    v = table(spark, base, "embeddings")
+    return retrieve.embedding_topk(v, v.where("vec_id % 100 = 0"), 5)
+
+
+@query(
+    "ranker_disagreement",
+    f"""WITH {BM25}, {COSINE}, b AS (SELECT query_id, list_sort(list(DISTINCT split_part(chunk_id, '::p', 1))) AS a FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS r FROM bm) WHERE r <= 3 GROUP BY query_id),
+c AS (SELECT query_id, list_sort(list(DISTINCT split_part(chunk_id, '::p', 1))) AS b FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM cs) WHERE r <= 3 GROUP BY query_id)
+SELECT query_id, array_to_string(coalesce(a, []), ',') AS bm25_docs, array_to_string(coalesce(b, []), ',') AS dense_docs, round(CASE WHEN len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) = 0 THEN 1.0 ELSE len(list_intersect(coalesce(a, []), coalesce(b, []))) / len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) END, 6) AS jaccard,
+ (CASE WHEN len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) = 0 THEN 1.0 ELSE len(list_intersect(coalesce(a, []), coalesce(b, []))) / len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) END) < 1.0 AS disagreed FROM asked LEFT JOIN b USING (query_id) LEFT JOIN c USING (query_id)""",
+)
+def ranker_disagreement(spark: SparkSession, base: str) -> DataFrame:
+    q, _, post, freq, stats = _ranked(spark, base)
+    docs = lambda r: r.groupBy("query_id").agg(F.array_sort(F.collect_set(F.substring_index("chunk_id", "::p", 1))).alias("docs"))
+    a = docs(retrieve.top_k(retrieve.bm25(q, post, freq, stats), "bm25", 3))
+    b = docs(retrieve.top_k(retrieve.tfidf_cosine(q, post, freq, stats), "cosine", 3))
+    out = retrieve.disagreement(a, b, q)
+    return out.select("query_id", F.array_join("bm25_docs", ",").alias("bm25_docs"), F.array_join("dense_docs", ",").alias("dense_docs"), "jaccard", "disagreed")
+
+
+# --- grounding and drafts
+
+
+def _supported(spark: SparkSession, base: str) -> DataFrame:
+    q, ch, post, freq, stats = _ranked(spark, base)
+    hits = retrieve.top_k(retrieve.bm25(q, post, freq, stats), "bm25", 5)
+    content = corpus.document_frequency(corpus.postings(ch, content_only=True))
+    return grounding.support(hits, grounding.terms(q, content, stats), grounding.evidence_forms(ch))
+
+
+@query("query_terms")
+def query_terms(spark: SparkSession, base: str) -> DataFrame:
+    """Terms of the asked queries with kind, weight and spellings."""
+    q, ch, _, _, stats = _ranked(spark, base)
+    t = grounding.terms(q, corpus.document_frequency(corpus.postings(ch, content_only=True)), stats)
+    return t.select("query_id", "pos", "term", "kind", "weight", F.array_join("alts", ",").alias("alts"))
+
+
+@query("grounding_coverage")
+def grounding_coverage(spark: SparkSession, base: str) -> DataFrame:
+    """Coverage, key gate and missing words of each asked query on its five best chunks."""
+    return grounding.coverage(_supported(spark, base))
+
+
+@query("extractive_answer")
+def extractive_answer(spark: SparkSession, base: str) -> DataFrame:
+    q, ch, post, freq, stats = _ranked(spark, base)
+    hits = retrieve.top_k(retrieve.bm25(q, post, freq, stats), "bm25", 5).select("query_id", "chunk_id", "rank")
+    return answer.draft(q, hits.join(ch.select("chunk_id", "doc_id", "pos", "text"), "chunk_id"))
+
+
+@query("ask_batch")
+def ask_batch(spark: SparkSession, base: str) -> DataFrame:
+    """The decision for each asked query over the whole corpus."""
+    c = engine.build_corpus(table(spark, base, "ops_docs"), table(spark, base, "source_slas"))
+    out = engine.ask_batch(_asked(spark, base), c)
+    return out.select("query_id", "query", "decision", "n_retrieved", "n_supporting", "n_fresh", F.round("best_support", 4).alias("best_support"), "jaccard", "draft", "cited")
+
+
+def flagship(spark: SparkSession, base: str) -> DataFrame:
+    return ask_batch(spark, base)
+
+
+# --- freshness, budgets, scans
+
+
+@query(
+    "freshness",
+    """WITH s AS (SELECT lower(trim(source_system, ' ')) AS k, max(max_age_hours) AS m FROM source_slas GROUP BY 1), x AS (SELECT row_id, (epoch_us(TIMESTAMPTZ '2026-09-13 00:00:00+00') - epoch_us(ingested_at)) / 3.6e9 AS age_hours, coalesce(CASE WHEN isnan(m) THEN NULL ELSE m END, 48.0) AS max_age_hours FROM ops_docs LEFT JOIN s ON lower(trim(source_system, ' ')) = k)
+SELECT row_id, round(age_hours, 6) AS age_hours, max_age_hours, coalesce(age_hours <= max_age_hours, false) AS fresh FROM x""",
+)
+def freshness_check(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "ops_docs").select("row_id", "source_system", "ingested_at")
+    aged = docs.withColumn("age_hours", freshness.age_hours(F.col("ingested_at"), F.lit("2026-09-13 00:00:00+00").cast("timestamp")))
+    out = freshness.check(freshness.with_limit(aged, table(spark, base, "source_slas")))
+    return out.select("row_id", F.round("age_hours", 6).alias("age_hours"), "max_age_hours", "fresh")
+
+
+@query(
+    "session_budget",
+    """WITH c AS (SELECT rec_id, session_id, run_at, 1000 + 150 * least(len(coalesce(cited_ids, [])), 5) + 400 AS milli FROM case_scores),
+p AS (SELECT *, CASE WHEN session_id IS NULL THEN milli ELSE sum(milli) OVER (PARTITION BY session_id ORDER BY run_at, rec_id ROWS UNBOUNDED PRECEDING) END / 1000.0 AS projected FROM c)
+SELECT rec_id, session_id, projected::DOUBLE AS projected, round(projected - milli / 1000.0, 3)::DOUBLE AS spent_before, session_id IS NOT NULL AND projected > 5.0 AS over_budget FROM p""",
+)
+def session_budget(spark: SparkSession, base: str) -> DataFrame:
+    cases = table(spark, base, "case_scores").select("rec_id", "session_id", "run_at", F.least(F.size(F.coalesce("cited_ids", F.array().cast("array<string>"))), F.lit(5)).alias("n"))
+    cases = cases.withColumn("cost", policy.request_cost(F.col("n"), disagreement=False))
+    return policy.budget(cases, "session_id", ("run_at", "rec_id"), "cost", 5.0).select("rec_id", "session_id", "projected", "spent_before", "over_budget")
+
+
+_RE2 = {k: v.replace("'", "''") for k, v in hazard.PATTERNS.items()}
+
+
+@query("contact_values", " UNION ALL ".join(f"SELECT row_id, '{k}' AS kind, unnest(regexp_extract_all(body, '{v}')) AS value FROM ops_docs" for k, v in _RE2.items()))
+def contact_values(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "ops_docs").select("row_id", F.inline(hazard.detect(F.col("body"))))
+
+
+@query(
+    "contact_masks",
+    r"""SELECT rec_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(reason, '\b([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})\b', '\1***@\2', 'g'),
+ '(?:\+?1[-.\s])?(?:\(\d{3}\)\s?|\b\d{3}[-.\s])\d{3}[-.\s](\d{4})\b', '***-***-\1', 'g'), '\bAKIA[0-9A-Z]{16}\b', 'AKIA****************', 'g'), '\b(xox[baprs])-[0-9A-Za-z-]{10,}\b', '\1-********', 'g') AS masked FROM case_scores""",
+)
+def contact_masks(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "case_scores").select("rec_id", hazard.mask(F.col("reason")).alias("masked"))
+
+
+# --- evaluation
+
+_RATE = "round(coalesce(count(*) FILTER ({0}) / nullif(count(*) FILTER ({1}), 0), 0.0), 6)"
+
+
+def _rate(hit: str, of: str = "true") -> str:
+    return _RATE.format(f"({hit}) AND ({of})", of)
+
+
+@query(
+    "decision_metrics",
+    f"""SELECT count(*) AS n, {_rate('expect_decision = actual_decision')} AS accuracy, {_rate('must_refuse', 'did_refuse')} AS refusal_precision, {_rate('did_refuse', 'must_refuse')} AS refusal_recall,
+ {_rate('grounding_passed', "actual_decision = 'ANSWER'")} AS answer_grounding, {_rate('disagreed')} AS disagreement_rate, {_rate('budget_refused')} AS budget_refusal_rate, {_rate('propose_write')} AS proposal_rate,
+ {_rate('actual_canary_leak', 'expect_canary_leak')} AS canary_recall, {_rate('expect_canary_leak', 'actual_canary_leak')} AS canary_precision, {_rate('actual_pii', 'expect_pii')} AS pii_recall, {_rate('expect_pii', 'actual_pii')} AS pii_precision FROM case_scores""",
+)
+def decision_metrics(spark: SparkSession, base: str) -> DataFrame:
+    return evaluate.decision_metrics(table(spark, base, "case_scores"))
+
+
+@query("confusion", "SELECT expect_decision, actual_decision, count(*) AS rows FROM case_scores GROUP BY ALL")
+def confusion(spark: SparkSession, base: str) -> DataFrame:
+    return evaluate.confusion(table(spark, base, "case_scores"))
+
+
+@query("accuracy_slices", f"SELECT split, source, mode, count(*) AS rows, {_rate('expect_decision = actual_decision')} AS accuracy, grouping(split)::INT AS g_split, grouping(source)::INT AS g_source, grouping(mode)::INT AS g_mode FROM case_scores GROUP BY CUBE (split, source, mode)")
+def accuracy_slices(spark: SparkSession, base: str) -> DataFrame:
+    return evaluate.slices(table(spark, base, "case_scores"), "split", "source", "mode")
+
+
+@query("latency_percentiles", "SELECT mode, split, count(*) AS n, round(avg(latency_ms), 6) AS mean, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM case_scores WHERE latency_ms >= 0 AND latency_ms < 1e6 AND NOT isnan(latency_ms) GROUP BY ALL")
+def latency_percentiles(spark: SparkSession, base: str) -> DataFrame:
+    return evaluate.latencies(table(spark, base, "case_scores"), "mode", "split")
+
+
+@query(
+    "flip_kinds",
+    """SELECT split, CASE WHEN expect_decision = actual_decision THEN 'ok' WHEN actual_decision = 'PROPOSE_WRITE' THEN 'spurious_write' WHEN expect_decision = 'PROPOSE_WRITE' THEN 'missed_write'
+ WHEN actual_decision = 'ANSWER' THEN 'fail_open' WHEN expect_decision = 'ANSWER' THEN 'over_refusal' ELSE 'wrong_refusal_reason' END AS flip, count(*) AS rows FROM case_scores GROUP BY ALL""",
+)
+def flip_kinds(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "case_scores").groupBy("split", evaluate.classify_flip().alias("flip")).agg(F.count("*").alias("rows"))
+
+
+@query(
+    "arm_flips",
+    """WITH r AS (SELECT query, mode, actual_decision, row_number() OVER (PARTITION BY query, mode ORDER BY run_at, rec_id) AS n FROM case_scores WHERE query IS NOT NULL),
+ a AS (SELECT query, actual_decision AS before FROM r WHERE mode = 'global' AND n = 1), b AS (SELECT query, actual_decision AS after FROM r WHERE mode = 'per_source' AND n = 1)
+SELECT query, before, after FROM a JOIN b USING (query) WHERE before IS DISTINCT FROM after""",
+)
+def arm_flips(spark: SparkSession, base: str) -> DataFrame:
+    """Questions whose first run differs between the two modes."""
+    cases = table(spark, base, "case_scores").where("query is not null").select("query", "mode", "actual_decision", "run_at", "rec_id")
+    first = cases.groupBy("query", "mode").agg(F.min_by("actual_decision", F.struct("run_at", "rec_id")).alias("actual_decision"))
+    return evaluate.flips(first.where("mode = 'global'"), first.where("mode = 'per_source'"), "query")
+
+
+@query("split_overlap", "SELECT query FROM case_scores WHERE split = 'train' AND query IS NOT NULL INTERSECT SELECT query FROM eval_rows WHERE split <> 'train'")
+def split_overlap(spark: SparkSession, base: str) -> DataFrame:
+    """Questions of train that are literally in other splits of the labelled rows."""
+    return evaluate.overlap(table(spark, base, "case_scores").where("split = 'train'"), table(spark, base, "eval_rows").where("split <> 'train'"), "query")
+
+
+@query(
+    "resource_votes",
+    """WITH r AS (SELECT query, source AS resource FROM case_scores UNION ALL SELECT query, source FROM eval_rows) SELECT query, count(DISTINCT resource) AS resources FROM r WHERE query IS NOT NULL GROUP BY query HAVING count(DISTINCT resource) >= 2""",
+)
+def resource_votes(spark: SparkSession, base: str) -> DataFrame:
+    r = table(spark, base, "case_scores").select("query", F.col("source").alias("resource")).unionByName(table(spark, base, "eval_rows").select("query", F.col("source").alias("resource")))
+    return evaluate.votes(r.where("query is not null"), "query")
+
+
+# --- lexicons and models
+
+
+@query("typo_corrections")
+def typo_corrections(spark: SparkSession, base: str) -> DataFrame:
+    """Words of questions that the corpus doesn't know, with the one corpus word each is a keyboard slip from."""
+    words = table(spark, base, "case_scores").select(F.explode(F.array_distinct(X.tokens(X.normalize_text(F.col("query"))))).alias("term")).distinct()
+    return lexicon.correct(words, corpus.document_frequency(corpus.postings(_chunks(spark, base))))
+
+
+SUFFIXES = {"api": "service", "worker": "service", "cron": "job", "batch": "job", "store": "store", "proxy": "network", "edge": "network", "stream": "pipeline", "sync": "pipeline", "admin": "service"}
+_KINDS = " ".join(f"WHEN split_part(name, '-', -1) = '{k}' THEN '{v}'" for k, v in SUFFIXES.items())
+
+
+@query("entity_registry", f"SELECT name, CASE {_KINDS} END AS kind, count(*) AS records FROM (SELECT DISTINCT row_id, unnest({X.tokens_sql(N_BODY)}) AS name FROM ops_docs) WHERE name LIKE '%-%' AND CASE {_KINDS} END IS NOT NULL GROUP BY ALL")
+def entity_registry(spark: SparkSession, base: str) -> DataFrame:
+    return lexicon.entities(table(spark, base, "ops_docs"), "row_id", "body", SUFFIXES)
+
+
+@query("cooccurrence_ppmi")
+def cooccurrence_ppmi(spark: SparkSession, base: str) -> DataFrame:
+    return train.ppmi(train.cooccurrence(table(spark, base, "case_scores").select("query"), "query"))
+
+
+@query("word_vectors")
+def word_vectors(spark: SparkSession, base: str) -> DataFrame:
+    cells = train.ppmi(train.cooccurrence(table(spark, base, "case_scores").select("query"), "query"))
+    return train.word_vectors(cells, words=1500, dims=16)
+
+
+@query("translation_table")
+def translation_table(spark: SparkSession, base: str) -> DataFrame:
+    """Which words of a question come with which words of its reason."""
+    content = lambda c: F.array_distinct(X.content_tokens(X.tokens(X.normalize_text(F.col(c)))))
+    pairs = table(spark, base, "case_scores").where("query is not null and reason <> ''").select(content("reason").alias("s"), content("query").alias("t")).groupBy("s", "t").agg(F.count("*").alias("n"))
+    pairs = pairs.select(F.xxhash64("s", "t").alias("pair"), "s", "t").where("size(s) > 0 and size(t) > 0")
+    out = train.translation(pairs, "s", "t", rounds=3)
+    return out.where("p >= 0.01").select("s", "t", F.round("p", 6).alias("p"))
+
+
+@query("refusal_classifier")
+def refusal_classifier(spark: SparkSession, base: str) -> DataFrame:
+    """Probability of refusal from a run's measurements, fitted on a bounded sample; its area under the curve per split."""
+    rows = table(spark, base, "case_scores").where("must_refuse is not null and split is not null").select(
+        "rec_id", "split", "must_refuse", F.when(F.isnan("jaccard"), None).otherwise(F.col("jaccard")).alias("jaccard"), F.coalesce(F.col("grounding_passed").cast("int"), F.lit(-1)).alias("grounded"),
+        F.size(F.coalesce("cited_ids", F.array().cast("array<string>"))).alias("cited"), F.length("query").alias("chars"),
+    )
+    features = ["jaccard", "grounded", "cited", "chars"]
+    model = train.fit_logistic(rows.where("split = 'train'"), features, "must_refuse", sample=20_000, seed_key="rec_id")
+    scored = train.score_logistic(rows, features, model).withColumn("probability", F.round("probability", 4))
+    out = None
+    for split in ("train", "dev", "heldout", "fresh"):
+        part = train.auc(scored.where(F.col("split") == split), "must_refuse").select(F.lit(split).alias("split"), F.round("auc", 4).alias("auc"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- windows over events
+
+
+@query("hourly_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS start, event_type, count(*) AS events FROM events GROUP BY ALL")
+def hourly_events(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count("*").alias("events"))
+
+
+@query(
+    "event_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS start, max(ts)::TIMESTAMP AS last, count(*) AS events FROM s GROUP BY user_id, k""",
+)
+def event_sessions(spark: SparkSession, base: str) -> DataFrame:
+    e = table(spark, base, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    # a gap of just half an hour still belongs together; windows are half-open, so they end a microsecond later
+    s = e.groupBy("user_id", F.session_window("ts", "30 minutes 1 microsecond")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("events"))
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "events")
