@@ -31,21 +31,24 @@ def evidence_text() -> F.Column:
     return F.concat_ws(" ", "title", "text")
 
 
-def postings(chunk_table: DataFrame, content_only: bool = False) -> DataFrame:
+def tokenised(chunk_table: DataFrame) -> DataFrame:
+    """``chunk_id``, ``toks``: the tokens of each chunk's title and text, the source of postings and statistics."""
+    return chunk_table.select("chunk_id", X.tokens(X.normalize_text(evidence_text())).alias("toks"))
+
+
+def postings(tokens: DataFrame, content_only: bool = False) -> DataFrame:
     """``chunk_id``, ``term``, ``tf``, ``dl``: how often each term is in each chunk, and the chunk's length in tokens.
 
-    The length travels with the row, so ranking needs no join for it."""
-    toks = X.tokens(X.normalize_text(evidence_text()))
-    if content_only:
-        toks = X.content_tokens(toks)
-    t = chunk_table.select("chunk_id", toks.alias("toks"))
+    The length travels with the row, so ranking needs no join for it. Counts are combined
+    before the shuffle; a chunk's terms all lie in one task, so each goes out once.
+    """
+    t = tokens.select("chunk_id", X.content_tokens(F.col("toks")).alias("toks")) if content_only else tokens
     return t.select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def statistics(chunk_table: DataFrame) -> DataFrame:
+def statistics(tokens: DataFrame) -> DataFrame:
     """One row: ``n`` chunks and ``avgdl``."""
-    toks = X.tokens(X.normalize_text(evidence_text()))
-    return chunk_table.select(F.size(toks).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return tokens.select(F.size("toks").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluiceway.functions import text as X
-from sluiceway.operators.corpus import evidence_text, idf
+from sluiceway.operators.corpus import idf
 from sluiceway.session import broadcast_if_small
 
 PLACES = 6
@@ -40,10 +40,9 @@ def terms(queries: DataFrame, freq: DataFrame, stats: DataFrame) -> DataFrame:
     return t.select("query_id", "pos", "term", kind.alias("kind"), F.round(weight, PLACES).alias("weight"), alts.alias("alts"))
 
 
-def evidence_forms(chunk_table: DataFrame) -> DataFrame:
-    """``chunk_id``, ``forms``: the spellings a chunk supports."""
-    toks = X.content_tokens(X.tokens(X.normalize_text(evidence_text())))
-    return chunk_table.select("chunk_id", X.match_forms(toks).alias("forms"))
+def evidence_forms(tokens: DataFrame) -> DataFrame:
+    """``chunk_id``, ``forms``: the spellings a chunk (``toks``) supports."""
+    return tokens.select("chunk_id", X.match_forms(X.content_tokens(F.col("toks"))).alias("forms"))
 
 
 def support(pairs: DataFrame, term_table: DataFrame, forms: DataFrame) -> DataFrame:

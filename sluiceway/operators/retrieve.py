@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from sluiceway.config import EngineConfig
 from sluiceway.functions import text as X
-from sluiceway.operators.corpus import evidence_text, idf
+from sluiceway.operators.corpus import idf
 from sluiceway.session import broadcast_if_small
 
 PLACES = 6
@@ -69,7 +69,7 @@ def floors(scored: DataFrame, shares_content: F.Column, cfg: EngineConfig = Engi
     return scored.where(~weak & (shares_content | (F.col("bm25") >= 1.5 * cfg.min_score)))
 
 
-def search(queries: DataFrame, chunk_table: DataFrame, post: DataFrame, freq: DataFrame, stats: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+def search(queries: DataFrame, post: DataFrame, freq: DataFrame, stats: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """The hybrid ranking with floors: ``query_id``, ``chunk_id``, ``bm25``, ``cosine``, ``score``, ``rank``."""
     scored = hybrid(bm25(queries, post, freq, stats, cfg), tfidf_cosine(queries, post, freq, stats), cfg)
     content = query_terms(queries, content_only=True)

@@ -40,15 +40,16 @@ def build_corpus(docs: DataFrame, sources: DataFrame, cfg: EngineConfig = Engine
     timed = timed.withColumn("age_hours", freshness.age_hours(F.timestamp_micros("utc_us"), F.lit(cfg.now).cast("timestamp")))
     timed = freshness.with_limit(timed, sources, default=cfg.max_age_hours)
     ch = cut(corpus.chunks(timed, extra=("source_system", "age_hours", "max_age_hours")))
-    post = cut(corpus.postings(ch))
-    content = corpus.postings(ch, content_only=True)
-    return Corpus(ch, post, cut(corpus.document_frequency(post)), cut(corpus.document_frequency(content)), cut(corpus.statistics(ch)), cut(grounding.evidence_forms(ch)))
+    toks = cut(corpus.tokenised(ch))
+    post = cut(corpus.postings(toks))
+    content = corpus.postings(toks, content_only=True)
+    return Corpus(ch, post, cut(corpus.document_frequency(post)), cut(corpus.document_frequency(content)), cut(corpus.statistics(toks)), grounding.evidence_forms(toks))
 
 
 def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(), sessions: bool = False) -> DataFrame:
     """One row per query (``query_id``, ``query``; with ``sessions`` also ``session_id`` and ``seq``):
     ``decision``, ``draft``, ``cited``, and the gate columns that led to it."""
-    hits = cut(retrieve.search(queries, c.chunks, c.postings, c.frequency, c.stats, cfg))
+    hits = cut(retrieve.search(queries, c.postings, c.frequency, c.stats, cfg))
     terms = cut(grounding.terms(queries, c.content_frequency, c.stats))
     cover = grounding.coverage(grounding.support(hits, terms, c.forms))
     meta = c.chunks.select("chunk_id", "doc_id", "pos", "title", "text", "age_hours", "max_age_hours")

@@ -11,7 +11,7 @@ from sluiceway.functions import text as X
 from sluiceway.operators import answer, corpus, evaluate, freshness, grounding, hazard, lexicon, policy, retrieve, train
 from sluiceway.operators.timestamps import normalise_timestamps
 from sluiceway.plans import engine
-from sluiceway.session import table
+from sluiceway.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,8 +120,8 @@ def plural_folds(spark: SparkSession, base: str) -> DataFrame:
 
 @query("document_frequency", f"WITH {POSTINGS} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM freq CROSS JOIN stats")
 def document_frequency(spark: SparkSession, base: str) -> DataFrame:
-    ch = _chunks(spark, base)
-    out = corpus.with_idf(corpus.document_frequency(corpus.postings(ch)), corpus.statistics(ch))
+    toks = corpus.tokenised(_chunks(spark, base))
+    out = corpus.with_idf(corpus.document_frequency(corpus.postings(toks)), corpus.statistics(toks))
     return out.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -129,9 +129,10 @@ def document_frequency(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, base: str) -> tuple:
-    ch = _chunks(spark, base)
-    post = corpus.postings(ch)
-    return _asked(spark, base), ch, post, corpus.document_frequency(post), corpus.statistics(ch)
+    """The asked queries, tokens of all chunks, postings, frequencies, statistics; tokens and postings are written once, as an index is."""
+    toks = cut(corpus.tokenised(_chunks(spark, base)))
+    post = cut(corpus.postings(toks))
+    return _asked(spark, base), toks, post, corpus.document_frequency(post), corpus.statistics(toks)
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, chunk_id, bm25, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5")
@@ -154,7 +155,8 @@ kept AS (SELECT hy.*, row_number() OVER (PARTITION BY hy.query_id ORDER BY score
 
 @query("hybrid_topk", f"WITH {HYBRID} SELECT query_id, chunk_id, bm25, cosine, score, rank::INT AS rank FROM kept WHERE rank <= 5")
 def hybrid_topk(spark: SparkSession, base: str) -> DataFrame:
-    return retrieve.search(*_ranked(spark, base))
+    q, _, post, freq, stats = _ranked(spark, base)
+    return retrieve.search(q, post, freq, stats)
 
 
 def _grams_sql(expr: str) -> str:
@@ -204,17 +206,17 @@ def ranker_disagreement(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _supported(spark: SparkSession, base: str) -> DataFrame:
-    q, ch, post, freq, stats = _ranked(spark, base)
+    q, toks, post, freq, stats = _ranked(spark, base)
     hits = retrieve.top_k(retrieve.bm25(q, post, freq, stats), "bm25", 5)
-    content = corpus.document_frequency(corpus.postings(ch, content_only=True))
-    return grounding.support(hits, grounding.terms(q, content, stats), grounding.evidence_forms(ch))
+    content = corpus.document_frequency(corpus.postings(toks, content_only=True))
+    return grounding.support(hits, grounding.terms(q, content, stats), grounding.evidence_forms(toks))
 
 
 @query("query_terms")
 def query_terms(spark: SparkSession, base: str) -> DataFrame:
     """Terms of the asked queries with kind, weight and spellings."""
-    q, ch, _, _, stats = _ranked(spark, base)
-    t = grounding.terms(q, corpus.document_frequency(corpus.postings(ch, content_only=True)), stats)
+    q, toks, _, _, stats = _ranked(spark, base)
+    t = grounding.terms(q, corpus.document_frequency(corpus.postings(toks, content_only=True)), stats)
     return t.select("query_id", "pos", "term", "kind", "weight", F.array_join("alts", ",").alias("alts"))
 
 
@@ -226,9 +228,9 @@ def grounding_coverage(spark: SparkSession, base: str) -> DataFrame:
 
 @query("extractive_answer")
 def extractive_answer(spark: SparkSession, base: str) -> DataFrame:
-    q, ch, post, freq, stats = _ranked(spark, base)
+    q, _, post, freq, stats = _ranked(spark, base)
     hits = retrieve.top_k(retrieve.bm25(q, post, freq, stats), "bm25", 5).select("query_id", "chunk_id", "rank")
-    return answer.draft(q, hits.join(ch.select("chunk_id", "doc_id", "pos", "text"), "chunk_id"))
+    return answer.draft(q, hits.join(_chunks(spark, base).select("chunk_id", "doc_id", "pos", "text"), "chunk_id"))
 
 
 @query("ask_batch")
@@ -365,7 +367,7 @@ def resource_votes(spark: SparkSession, base: str) -> DataFrame:
 def typo_corrections(spark: SparkSession, base: str) -> DataFrame:
     """Words of questions that the corpus doesn't know, with the one corpus word each is a keyboard slip from."""
     words = table(spark, base, "case_scores").select(F.explode(F.array_distinct(X.tokens(X.normalize_text(F.col("query"))))).alias("term")).distinct()
-    return lexicon.correct(words, corpus.document_frequency(corpus.postings(_chunks(spark, base))))
+    return lexicon.correct(words, corpus.document_frequency(corpus.postings(corpus.tokenised(_chunks(spark, base)))))
 
 
 SUFFIXES = {"api": "service", "worker": "service", "cron": "job", "batch": "job", "store": "store", "proxy": "network", "edge": "network", "stream": "pipeline", "sync": "pipeline", "admin": "service"}

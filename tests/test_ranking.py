@@ -46,8 +46,9 @@ def test_chunks(docs):
 
 def test_ranking(docs, queries):
     ch = corpus.chunks(corpus.latest_documents(docs))
-    post = corpus.postings(ch)
-    freq, stats = corpus.document_frequency(post), corpus.statistics(ch)
+    toks = corpus.tokenised(ch)
+    post = corpus.postings(toks)
+    freq, stats = corpus.document_frequency(post), corpus.statistics(toks)
     texts = {c.chunk_id: words(f"{c.title} {c.text}") for c in ch.collect()}
     n, avg = len(texts), sum(map(len, texts.values())) / len(texts)
     df = Counter(w for t in texts.values() for w in set(t))
@@ -69,20 +70,21 @@ def test_ranking(docs, queries):
         a, b = vec(words(dict(QUERIES)[r.query_id])), vec(texts[r.chunk_id])
         assert abs(r.cosine - sum(a[x] * b.get(x, 0) for x in a) / norm(a) / norm(b)) < 2e-6
 
-    hits = retrieve.search(queries, ch, post, freq, stats).collect()
+    hits = retrieve.search(queries, post, freq, stats).collect()
     assert {r.query_id for r in hits} == {1, 2, 6} and all(r.rank <= 5 for r in hits)
     assert next(r.chunk_id for r in hits if r.query_id == 2 and r.rank == 1) == "d2::p0"
-    assert retrieve.search(queries.limit(0), ch, post, freq, stats).count() == 0
+    assert retrieve.search(queries.limit(0), post, freq, stats).count() == 0
 
 
 def test_grounding(docs, queries):
     ch = corpus.chunks(corpus.latest_documents(docs))
-    content = corpus.document_frequency(corpus.postings(ch, content_only=True))
-    t = grounding.terms(queries, content, corpus.statistics(ch))
+    toks = corpus.tokenised(ch)
+    content = corpus.document_frequency(corpus.postings(toks, content_only=True))
+    t = grounding.terms(queries, content, corpus.statistics(toks))
     kinds = {(r.query_id, r.term): r.kind for r in t.collect()}
     assert kinds[1, "checkout"] == "known" and kinds[3, "zebra"] == "unknown"
     pairs = queries.where("query_id in (1, 3)").select("query_id", F.lit("d1::p0").alias("chunk_id"))
-    got = {r.query_id: r for r in grounding.coverage(grounding.support(pairs, t, grounding.evidence_forms(ch))).collect()}
+    got = {r.query_id: r for r in grounding.coverage(grounding.support(pairs, t, grounding.evidence_forms(toks))).collect()}
     assert got[1].coverage == 1.0 and got[1].keys_ok and got[1].missing == ""
     assert got[3].coverage == 0.0 and not got[3].keys_ok and got[3].missing == "zebra,unicorn"
 
