@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 LANE_ITEMS = 10_000
+MOST_PARTITIONS = 20_000
 #: Containers of the first round filled less than this share are opened and packed again.
 REPACK_BELOW = 0.98
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -138,7 +139,9 @@ def _pack_lanes(items: DataFrame, lanes: int, prefix: str, capacity: int) -> Dat
             "n_tokens": g["n_tokens"], "position": by.cumcount().astype("int32"), "offset": (by.cumsum() - g["n_tokens"]).astype("int32"), "filled": by.transform("sum").astype("int32"),
         })
 
-    laned = items.withColumn("lane", F.pmod(F.xxhash64("key", "part"), F.lit(lanes)))
+    laned = items.withColumn("lane", F.pmod(F.xxhash64("key", "part"), F.lit(lanes)).cast("int"))
+    # a fixed number of partitions: by bytes alone, lanes would be put together in a few long tasks
+    laned = laned.repartition(min(lanes, MOST_PARTITIONS), "lane")
     schema = f"container string, key {kind}, part int, first_token bigint, n_tokens int, position int, offset int, filled int"
     return laned.groupBy("lane").applyInPandas(pack, schema)
 
