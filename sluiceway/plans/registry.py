@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions import text as X
-from sluiceway.operators import answer, corpus, evaluate, freshness, grounding, hazard, lexicon, policy, retrieve, train
+from sluiceway.operators import answer, corpus, evaluate, freshness, grounding, hazard, lexicon, perturb, policy, redaction, retrieve, train
 from sluiceway.operators.timestamps import normalise_timestamps
 from sluiceway.plans import engine
 from sluiceway.session import cut, table
@@ -289,6 +289,24 @@ def contact_masks(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "case_scores").select("rec_id", hazard.mask(F.col("reason")).alias("masked"))
 
 
+@query("redacted_reasons")
+def redacted_reasons(spark: SparkSession, base: str) -> DataFrame:
+    """Reasons as they may leave the engine, and how many finds are left in them (none)."""
+    out = table(spark, base, "case_scores").select("rec_id", redaction.redact_text(F.col("reason")).alias("redacted"))
+    return out.withColumn("left_over", redaction.leaks(F.col("redacted")))
+
+
+@query("perturbed_questions")
+def perturbed_questions(spark: SparkSession, base: str) -> DataFrame:
+    return perturb.perturbed(table(spark, base, "eval_rows").select("rec_id", "query"))
+
+
+@query("swapped_words")
+def swapped_words(spark: SparkSession, base: str) -> DataFrame:
+    """The null control for the asked queries: each content word replaced by another of the corpus."""
+    return perturb.swapped_words(_asked(spark, base), corpus.document_frequency(corpus.postings(corpus.tokenised(_chunks(spark, base)))))
+
+
 # --- evaluation
 
 _RATE = "round(coalesce(count(*) FILTER ({0}) / nullif(count(*) FILTER ({1}), 0), 0.0), 6)"
