@@ -205,6 +205,29 @@ def ranker_disagreement(spark: SparkSession, base: str) -> DataFrame:
 # --- grounding and drafts
 
 
+def _forms_sql(words: str) -> str:
+    """The match forms of a list of words."""
+    fold = X.fold_sql("f")
+    plural = f"list_transform(list_filter({words}, lambda f: {fold} = f), lambda f: f || 's')"
+    joined = f"list_transform(list_filter({words}, lambda f: contains(f, '-') AND NOT regexp_matches(f, '[0-9]')), lambda f: replace(f, '-', ''))"
+    return f"list_distinct(list_concat({words}, list_transform({words}, lambda f: {fold}), {plural}, {joined}))"
+
+
+_GROUPS = ", ".join(f"('{w}', '{o}')" for g in X.SYNONYM_GROUPS for w in g for o in g if o != w)
+TERMS = f"""{BM25}, ct AS (SELECT chunk_id, list_filter(toks, lambda t: NOT list_contains({STOP}, t)) AS toks FROM tok), cfreq AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(toks) AS term FROM ct) GROUP BY term),
+syn(word, other) AS (VALUES {_GROUPS}),
+q0 AS (SELECT query_id, list_filter({X.tokens_sql(N_QUERY)}, lambda t: NOT list_contains({STOP}, t)) AS toks FROM asked), q1 AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) - 1 AS pos FROM (SELECT query_id, unnest(toks) AS term, unnest(range(1, len(toks) + 1)) AS place FROM q0) GROUP BY query_id, term),
+q2 AS (SELECT q1.*, CASE WHEN regexp_matches(q1.term, '[0-9]') THEN NULL WHEN EXISTS (SELECT 1 FROM syn WHERE word = q1.term) THEN q1.term ELSE {X.fold_sql('q1.term')} END AS skey FROM q1),
+alt AS (SELECT query_id, q2.term, list_sort(list(DISTINCT other)) AS known_alts, min(df) AS alt_df FROM q2 JOIN syn ON word = skey JOIN cfreq ON cfreq.term = other WHERE other <> q2.term GROUP BY ALL),
+q3 AS (SELECT q2.query_id, pos::INT AS pos, q2.term, cfreq.df, alt_df, known_alts, n, CASE WHEN regexp_matches(q2.term, '[0-9_.-]') THEN 'identifier' WHEN cfreq.df IS NOT NULL THEN 'known' WHEN known_alts IS NOT NULL THEN 'synonym' ELSE 'unknown' END AS kind
+  FROM q2 CROSS JOIN stats LEFT JOIN cfreq ON cfreq.term = q2.term LEFT JOIN alt ON alt.query_id = q2.query_id AND alt.term = q2.term),
+terms AS (SELECT query_id, pos, term, kind, round(CASE WHEN df IS NOT NULL THEN ln((n - df + 0.5) / (df + 0.5) + 1.0) WHEN kind = 'synonym' THEN ln((n - alt_df + 0.5) / (alt_df + 0.5) + 1.0) ELSE ln(n + 1.0) + 1.0 END, 6) AS weight,
+  CASE WHEN kind = 'identifier' THEN [term] ELSE list_distinct(list_concat({_forms_sql('[term]')}, coalesce(known_alts, []))) END AS alts FROM q3)"""
+COVERAGE = f"""{TERMS}, hits AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS r FROM bm) WHERE r <= 5),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, pos) AS key_rank, count(*) OVER (PARTITION BY query_id) AS n_terms FROM terms),
+sup AS (SELECT query_id, chunk_id, term, weight, key_rank, n_terms, list_has_any(alts, {_forms_sql('toks')}) AS ok FROM hits JOIN ct USING (chunk_id) JOIN ranked USING (query_id))"""
+
+
 def _supported(spark: SparkSession, base: str) -> DataFrame:
     q, toks, post, freq, stats = _ranked(spark, base)
     hits = retrieve.top_k(retrieve.bm25(q, post, freq, stats), "bm25", 5)
@@ -212,15 +235,19 @@ def _supported(spark: SparkSession, base: str) -> DataFrame:
     return grounding.support(hits, grounding.terms(q, content, stats), grounding.evidence_forms(toks))
 
 
-@query("query_terms")
+@query("query_terms", f"WITH {TERMS} SELECT query_id, pos, term, kind, weight, array_to_string(list_sort(alts), ',') AS alts FROM terms")
 def query_terms(spark: SparkSession, base: str) -> DataFrame:
     """Terms of the asked queries with kind, weight and spellings."""
     q, toks, _, _, stats = _ranked(spark, base)
     t = grounding.terms(q, corpus.document_frequency(corpus.postings(toks, content_only=True)), stats)
-    return t.select("query_id", "pos", "term", "kind", "weight", F.array_join("alts", ",").alias("alts"))
+    return t.select("query_id", "pos", "term", "kind", "weight", F.array_join(F.array_sort("alts"), ",").alias("alts"))
 
 
-@query("grounding_coverage")
+@query(
+    "grounding_coverage",
+    f"""WITH {COVERAGE} SELECT query_id, chunk_id, round(sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight), 6) AS coverage, bool_and(key_rank > ceil(n_terms / 2.0) OR ok) AS keys_ok, bool_and(key_rank <= ceil(n_terms / 2.0) OR ok) AS nonkeys_ok,
+ coalesce(array_to_string((list(term ORDER BY key_rank) FILTER (NOT ok))[1:6], ','), '') AS missing FROM sup GROUP BY ALL""",
+)
 def grounding_coverage(spark: SparkSession, base: str) -> DataFrame:
     """Coverage, key gate and missing words of each asked query on its five best chunks."""
     return grounding.coverage(_supported(spark, base))
@@ -397,7 +424,13 @@ def entity_registry(spark: SparkSession, base: str) -> DataFrame:
     return lexicon.entities(table(spark, base, "ops_docs"), "row_id", "body", SUFFIXES)
 
 
-@query("cooccurrence_ppmi")
+PPMI = f"""WITH s AS (SELECT row_number() OVER () AS sid, list_filter({X.tokens_sql(X.normalize_sql('sentence'))}, lambda t: NOT list_contains({STOP}, t)) AS t FROM (SELECT unnest({X.sentences_sql('query')}) AS sentence FROM case_scores)),
+w AS (SELECT sid, unnest(t) AS term, unnest(range(len(t))) AS p FROM s), one AS (SELECT x.term AS a, y.term AS b, sum(1.0::DOUBLE / (y.p - x.p)) AS w FROM w x JOIN w y ON x.sid = y.sid AND y.p > x.p AND y.p <= x.p + 4 WHERE x.term <> y.term GROUP BY ALL),
+cells AS (SELECT a, b, round(sum(w), 6) AS weight FROM (SELECT a, b, w FROM one UNION ALL SELECT b, a, w FROM one) GROUP BY ALL), r AS (SELECT a, sum(weight) AS row_sum FROM cells GROUP BY a), c AS (SELECT a AS b, row_sum ** 0.75 AS ctx FROM r), t AS (SELECT sum(row_sum) AS total FROM r), u AS (SELECT sum(ctx) AS ctx_total FROM c)
+SELECT a, b, ppmi FROM (SELECT a, b, round(ln(weight * total / (row_sum * ctx * total / ctx_total)), 6) AS ppmi FROM cells JOIN r USING (a) JOIN c USING (b) CROSS JOIN t CROSS JOIN u) WHERE ppmi > 0"""
+
+
+@query("cooccurrence_ppmi", PPMI)
 def cooccurrence_ppmi(spark: SparkSession, base: str) -> DataFrame:
     return train.ppmi(train.cooccurrence(table(spark, base, "case_scores").select("query"), "query"))
 
