@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions import text as X
-from sluiceway.operators import answer, corpus, evaluate, freshness, grounding, hazard, lexicon, perturb, policy, redaction, retrieve, train
+from sluiceway.operators import answer, corpus, evaluate, freshness, grounding, hazard, lexicon, perturb, policy, redaction, rescue, retrieve, splits, train
 from sluiceway.operators.timestamps import normalise_timestamps
 from sluiceway.plans import engine
 from sluiceway.session import cut, table
@@ -419,6 +419,32 @@ SUFFIXES = {"api": "service", "worker": "service", "cron": "job", "batch": "job"
 _KINDS = " ".join(f"WHEN split_part(name, '-', -1) = '{k}' THEN '{v}'" for k, v in SUFFIXES.items())
 
 
+@query("rewritten_questions")
+def rewritten_questions(spark: SparkSession, base: str) -> DataFrame:
+    """All labelled questions in words of the corpus."""
+    q = table(spark, base, "eval_rows").select(F.col("rec_id").alias("query_id"), "query")
+    return rescue.rewrite(q, corpus.document_frequency(corpus.postings(cut(corpus.tokenised(_chunks(spark, base))))))
+
+
+@query("hash_split", "SELECT id, rec_id, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.3 THEN 'valid' ELSE 'train' END AS part FROM (SELECT id, rec_id, ('0x' || substr(sha1('split-1|' || id), 1, 8))::BIGINT / 4294967295.0 AS u FROM eval_rows)")
+def hash_split(spark: SparkSession, base: str) -> DataFrame:
+    """Labelled rows by the hash of their id: repeated rows fall together."""
+    return table(spark, base, "eval_rows").select("id", "rec_id", splits.hash_split("split-1", {"test": 0.2, "valid": 0.1, "train": 0.7}, "id").alias("part"))
+
+
+@query("passage_features")
+def passage_features(spark: SparkSession, base: str) -> DataFrame:
+    """The eleven features of each asked query and its five best chunks."""
+    q, toks, post, freq, stats = _ranked(spark, base)
+    hits = retrieve.top_k(retrieve.bm25(q, post, freq, stats), "bm25", 5).select("query_id", "chunk_id")
+    words = q.select("query_id", X.content_tokens(X.tokens(X.normalize_text(F.col("query")))).alias("q"))
+    pairs = hits.join(words, "query_id").join(toks.select("chunk_id", X.content_tokens(F.col("toks")).alias("p")), "chunk_id")
+    pairs = pairs.select(F.concat_ws("|", F.col("query_id").cast("string"), "chunk_id").alias("pair"), "q", "p")
+    cells = train.ppmi(train.cooccurrence(table(spark, base, "case_scores").select("query"), "query"))
+    weights = corpus.with_idf(freq, stats).select(F.col("term").alias("word"), F.col("idf").alias("weight"))
+    return rescue.passage_features(cut(pairs), cut(train.word_vectors(cells, words=1500, dims=16)), weights)
+
+
 @query("entity_registry", f"SELECT name, CASE {_KINDS} END AS kind, count(*) AS records FROM (SELECT DISTINCT row_id, unnest({X.tokens_sql(N_BODY)}) AS name FROM ops_docs) WHERE name LIKE '%-%' AND CASE {_KINDS} END IS NOT NULL GROUP BY ALL")
 def entity_registry(spark: SparkSession, base: str) -> DataFrame:
     return lexicon.entities(table(spark, base, "ops_docs"), "row_id", "body", SUFFIXES)

@@ -35,22 +35,22 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    ``spark.checkpoint.dir`` of the session wins. Only where it is unset (tests, local
-    runs) a folder of our own is made, which a local master can always read back.
+    ``spark.checkpoint.dir`` of the session wins. Where it is unset, a plain local master
+    gets a temporary folder, which its one process can always read back; a cluster gets a
+    folder under its warehouse, which its executors share, never a machine's own.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current
-    if named:
-        sc.setCheckpointDir(named)
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"sluiceway-{uuid.uuid4().hex}")
-    sc.setCheckpointDir("file://" + own)
-    return own
+    if not named:
+        if sc.master == "local" or sc.master.startswith("local["):
+            named = "file://" + os.path.join(tempfile.gettempdir(), f"sluiceway-{uuid.uuid4().hex}")
+        else:
+            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_checkpoints/{uuid.uuid4().hex}"
+    sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
