@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluiceway.config import EngineConfig
-from sluiceway.operators import answer, corpus, freshness, grounding, hazard, policy, retrieve
+from sluiceway.operators import answer, corpus, freshness, grounding, hazard, intent, policy, retrieve
 from sluiceway.operators.timestamps import normalise_timestamps
 from sluiceway.session import cut
 
@@ -46,9 +46,11 @@ def build_corpus(docs: DataFrame, sources: DataFrame, cfg: EngineConfig = Engine
     return Corpus(ch, post, cut(corpus.document_frequency(post)), cut(corpus.document_frequency(content)), cut(corpus.statistics(toks)), grounding.evidence_forms(toks))
 
 
-def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(), sessions: bool = False) -> DataFrame:
+def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(), sessions: bool = False, canaries: DataFrame | None = None, canary_pattern: str = r"CANARY-[A-Z0-9-]+") -> DataFrame:
     """One row per query (``query_id``, ``query``; with ``sessions`` also ``session_id`` and ``seq``):
-    ``decision``, ``draft``, ``cited``, and the gate columns that led to it."""
+    ``decision``, ``draft``, ``cited``, and the gate columns that led to it.
+
+    ``canaries``: a registry of planted ``token``s, which all have the form ``canary_pattern``."""
     hits = cut(retrieve.search(queries, c.postings, c.frequency, c.stats, cfg))
     terms = cut(grounding.terms(queries, c.content_frequency, c.stats))
     cover = grounding.coverage(grounding.support(hits, terms, c.forms))
@@ -90,9 +92,14 @@ def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(),
     else:
         out = out.withColumn("over_budget", F.lit(False))
     out = out.withColumn("pii_action", F.when(F.col("draft").isNotNull(), hazard.action(F.col("draft"), F.col("query"), CONTACT_PHRASES)))
-    for name, kind in (("write_action", "string"), ("write_ambiguous", "boolean"), ("canary_leaked", "boolean")):
-        if name not in out.columns:
-            out = out.withColumn(name, F.lit(None).cast(kind))
+    out = out.withColumn("__i", intent.intent(F.col("query")))
+    proposed = F.col("__i.status") == "propose"
+    out = out.withColumn("write_action", F.when(proposed, F.col("__i.action"))).withColumn("write_target", F.when(proposed, F.col("__i.target"))).withColumn("write_ambiguous", F.col("__i.status") == "ambiguous").drop("__i")
+    if canaries is None:
+        out = out.withColumn("canary_leaked", F.lit(False))
+    else:
+        leaked = hazard.canary_scan(out.where("draft is not null"), canaries, "query_id", "draft", "query", canary_pattern).groupBy("query_id").agg(F.max("leaked").alias("canary_leaked"))
+        out = out.join(leaked, "query_id", "left")
     out = out.withColumn("decision", policy.decide(cfg))
     answered = F.col("decision") == "ANSWER"
     shown = F.when(answered, F.when(F.col("pii_action") == "redact", hazard.mask(F.col("draft"))).otherwise(F.col("draft")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions import text as X
-from sluiceway.operators import answer, corpus, evaluate, freshness, grounding, hazard, lexicon, perturb, policy, redaction, rescue, retrieve, splits, train
+from sluiceway.operators import answer, corpus, evaluate, freshness, grounding, hazard, intent, lexicon, perturb, policy, redaction, rescue, retrieve, splits, train
 from sluiceway.operators.timestamps import normalise_timestamps
 from sluiceway.plans import engine
 from sluiceway.session import cut, table
@@ -334,6 +334,13 @@ def swapped_words(spark: SparkSession, base: str) -> DataFrame:
     return perturb.swapped_words(_asked(spark, base), corpus.document_frequency(corpus.postings(corpus.tokenised(_chunks(spark, base)))))
 
 
+@query("write_intents")
+def write_intents(spark: SparkSession, base: str) -> DataFrame:
+    """What change, if any, each message asks for."""
+    q = table(spark, base, "case_scores").select("rec_id", "query")
+    return q.select("rec_id", intent.intent(F.col("query")).alias("i")).select("rec_id", "i.*")
+
+
 # --- evaluation
 
 _RATE = "round(coalesce(count(*) FILTER ({0}) / nullif(count(*) FILTER ({1}), 0), 0.0), 6)"

@@ -133,3 +133,7 @@ def test_engine(spark, docs, queries):
     assert out[2].decision == "REFUSE_STALE" and out[2].draft is None
     assert out[3].decision == out[4].decision == out[5].decision == "REFUSE_NO_EVIDENCE"
     assert engine.ask(spark, "What is the checkout queue depth?", c)["decision"] == "ANSWER"
+    asked = spark.createDataFrame([(1, "please restart checkout-api"), (2, "restart it"), (3, "What is the checkout queue depth?")], "query_id int, query string")
+    planted = spark.createDataFrame([("workers",)], "token string")
+    got = {r.query_id: (r.decision, r.write_target) for r in engine.ask_batch(asked, c, EngineConfig(nonkey_rule="off"), canaries=planted, canary_pattern="work[a-z]+").collect()}
+    assert got == {1: ("PROPOSE_WRITE", "checkout-api"), 2: ("REFUSE_AMBIGUOUS_WRITE", None), 3: ("REFUSE_CANARY", None)}
