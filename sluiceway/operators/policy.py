@@ -40,18 +40,25 @@ def request_cost(n_retrieved: Column, dense: bool = True, disagreement: bool = T
     return F.lit(1.0) + 0.15 * n_retrieved + (0.40 if dense else 0.0) + (0.25 if disagreement else 0.0)
 
 
-def budget(requests: DataFrame, session: str, order: tuple[str, ...], cost: str, limit: float, opening: str | None = None) -> DataFrame:
+def budget(requests: DataFrame, session: str, order: tuple[str, ...], cost: str, limit: float, opening: str | None = None, stretch: Column | None = None) -> DataFrame:
     """Adds ``spent_before``, ``projected`` and ``over_budget``; each request is charged, refused or not.
 
     Requests without a session are never over budget. The running sum is exact in
-    thousandths. Sessions are the partitions; one session's requests are one sequence by
-    nature, sorted and spilled by Spark, not held in memory.
+    thousandths. ``stretch`` cuts a session's sequence into consecutive parts (a day of its
+    order, for instance): sums run within a part, and what earlier parts spent is added from
+    one total each, so that a session that holds a third of all requests is no one task's work.
+    Its value must never fall along ``order``.
     """
     milli = F.round(F.col(cost) * 1000).cast("bigint")
-    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.round(F.coalesce(F.col(opening), F.lit(0.0)) * 1000).cast("bigint") if opening else F.lit(0).cast("bigint")
+    x = requests.withColumn("__m", milli).withColumn("__s", F.lit(0) if stretch is None else stretch)
     # rows without a session are no sequence: they need no window and make no hot partition
-    own = requests.where(F.col(session).isNotNull()).withColumn("projected", (F.sum(milli).over(w) + start) / 1000.0)
-    rest = requests.where(F.col(session).isNull()).withColumn("projected", milli / 1000.0)
-    both = own.unionByName(rest)
-    return both.withColumn("spent_before", F.round(F.col("projected") - milli / 1000.0, 3)).withColumn("over_budget", F.col(session).isNotNull() & (F.col("projected") > limit))
+    own, rest = x.where(F.col(session).isNotNull()), x.where(F.col(session).isNull())
+    before = F.sum("__t").over(Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = own.groupBy(F.col(session).alias("__k"), F.col("__s").alias("__p")).agg(F.sum("__m").alias("__t")).select("__k", "__p", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = own.join(earlier, (F.col(session) == F.col("__k")) & F.col("__s").eqNullSafe(F.col("__p"))) if stretch is not None else own.withColumn("__before", F.lit(0))
+    w = Window.partitionBy(session, "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumn("projected", (F.sum("__m").over(w) + F.col("__before") + start) / 1000.0)
+    both = own.drop("__k", "__p", "__before").unionByName(rest.withColumn("projected", F.col("__m") / 1000.0))
+    both = both.withColumn("spent_before", F.round(F.col("projected") - F.col("__m") / 1000.0, 3))
+    return both.withColumn("over_budget", F.col(session).isNotNull() & (F.col("projected") > limit)).drop("__m", "__s")

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from sluiceway.config import EngineConfig
 from sluiceway.functions import text as X
 from sluiceway.operators.corpus import idf
-from sluiceway.session import broadcast_if_small
+from sluiceway.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, plan_bytes
 
 PLACES = 6
 
@@ -110,14 +110,20 @@ def dot(a: F.Column, b: F.Column) -> F.Column:
 def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Exact cosine of a bounded set of query vectors against all vectors: ``query_id``, ``key``, ``cosine``, ``rank``.
 
-    The stated query set is sent to where the vectors are, in one block if its size allows;
-    norms are computed once per vector.
+    The stated query set is sent to where the vectors are, in as many blocks as its size
+    needs, each under the broadcast limit; norms are computed once per vector and block.
     """
-    d = vectors.select(key, F.col(vec).alias("v"), F.sqrt(dot(F.col(vec), F.col(vec))).alias("vn"))
     q = queries.select(F.col(key).alias("query_id"), F.col(vec).alias("q"), F.sqrt(dot(F.col(vec), F.col(vec))).alias("qn"))
-    pairs = d.join(broadcast_if_small(q), F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, F.round(dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn")), PLACES).alias("cosine"))
-    return top_k(scored, "cosine", k, ties=key)
+    blocks = max(1, -(-plan_bytes(q) // BROADCAST_LIMIT_BYTES))
+    d = vectors.select(key, F.col(vec).alias("v"), F.sqrt(dot(F.col(vec), F.col(vec))).alias("vn"))
+    best = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = d.join(F.broadcast(part), F.col(key) != F.col("query_id"))
+        scored = pairs.select("query_id", key, F.round(dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn")), PLACES).alias("cosine"))
+        top = top_k(scored, "cosine", k, ties=key)
+        best = top if best is None else best.unionByName(top)
+    return best
 
 
 def disagreement(first: DataFrame, second: DataFrame, queries: DataFrame, threshold: float = 1.0) -> DataFrame:

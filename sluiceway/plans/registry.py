@@ -296,7 +296,7 @@ SELECT rec_id, session_id, projected::DOUBLE AS projected, round(projected - mil
 def session_budget(spark: SparkSession, base: str) -> DataFrame:
     cases = table(spark, base, "case_scores").select("rec_id", "session_id", "run_at", F.least(F.size(F.coalesce("cited_ids", F.array().cast("array<string>"))), F.lit(5)).alias("n"))
     cases = cases.withColumn("cost", policy.request_cost(F.col("n"), disagreement=False))
-    return policy.budget(cases, "session_id", ("run_at", "rec_id"), "cost", 5.0).select("rec_id", "session_id", "projected", "spent_before", "over_budget")
+    return policy.budget(cases, "session_id", ("run_at", "rec_id"), "cost", 5.0, stretch=F.to_date("run_at")).select("rec_id", "session_id", "projected", "spent_before", "over_budget")
 
 
 _RE2 = {k: v.replace("'", "''") for k, v in hazard.PATTERNS.items()}

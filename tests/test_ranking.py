@@ -111,7 +111,8 @@ def test_budget(spark):
     rows = [("a", 1, 2.0), ("a", 2, 2.5), ("a", 3, 0.5), ("a", 4, 0.001), (None, 5, 9.0), ("b", 6, 5.001)]
     df = spark.createDataFrame(rows, "s string, n int, cost double")
     got = {r.n: (r.projected, r.spent_before, r.over_budget) for r in policy.budget(df, "s", ("n",), "cost", 5.0).collect()}
-    assert got == {1: (2.0, 0.0, False), 2: (4.5, 2.0, False), 3: (5.0, 4.5, False), 4: (5.001, 5.0, True), 5: (9.0, 0.0, False), 6: (5.001, 0.0, True)}
+    cut_up = {r.n: (r.projected, r.spent_before, r.over_budget) for r in policy.budget(df, "s", ("n",), "cost", 5.0, stretch=F.floor(F.col("n") / 2)).collect()}
+    assert cut_up == got == {1: (2.0, 0.0, False), 2: (4.5, 2.0, False), 3: (5.0, 4.5, False), 4: (5.001, 5.0, True), 5: (9.0, 0.0, False), 6: (5.001, 0.0, True)}
 
 
 def test_hazard(spark):
