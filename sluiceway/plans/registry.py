@@ -253,7 +253,17 @@ def grounding_coverage(spark: SparkSession, base: str) -> DataFrame:
     return grounding.coverage(_supported(spark, base))
 
 
-@query("extractive_answer")
+_CONTENT = lambda c: f"list_distinct(list_filter({X.tokens_sql(X.normalize_sql(c))}, lambda t: NOT list_contains({STOP}, t)))"
+_ORDER = "score DESC, (pos = 0) DESC, rank, n"
+DRAFTS = f"""{BM25}, hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5), qs AS (SELECT query_id, {_CONTENT('query')} AS q FROM asked),
+es AS (SELECT query_id, rank, doc_id, pos, unnest(s) AS sentence, unnest(range(len(s))) AS n FROM (SELECT query_id, rank, doc_id, pos, {X.sentences_sql('text')} AS s FROM hits JOIN chunks USING (chunk_id))),
+sc AS (SELECT es.*, round(len(list_intersect({_CONTENT('sentence')}, q)) / len(q), 6) AS score FROM es JOIN qs USING (query_id) WHERE len(string_split_regex(sentence, '\\s+')) >= 6 AND len(list_intersect({_CONTENT('sentence')}, q)) > 0),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(sentence) ORDER BY {_ORDER}) AS again FROM sc) WHERE again = 1), pp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS place FROM dd) WHERE place <= 2),
+gg AS (SELECT query_id, string_agg(sentence, ' ' ORDER BY place) AS said, list(doc_id ORDER BY place) AS docs FROM pp GROUP BY query_id), cc AS (SELECT query_id, said, CASE WHEN len(docs) = 2 AND docs[1] <> docs[2] THEN docs[1] || ', ' || docs[2] ELSE docs[1] END AS cited FROM gg)
+SELECT query_id, said || ' [sources: ' || cited || ']' AS draft, cited FROM cc"""
+
+
+@query("extractive_answer", f"WITH {DRAFTS}")
 def extractive_answer(spark: SparkSession, base: str) -> DataFrame:
     q, _, post, freq, stats = _ranked(spark, base)
     hits = retrieve.top_k(retrieve.bm25(q, post, freq, stats), "bm25", 5).select("query_id", "chunk_id", "rank")
