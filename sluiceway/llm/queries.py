@@ -55,6 +55,11 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return cut.where(F.size("pieces") > 1).select("row_id", kind.alias("kind"))
 
 
+# white space as Unicode has it
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SQL["p2_found"] = f"SELECT row_id, CASE WHEN list_max(list_transform(regexp_split_to_array(body, '{_BLANK}'), lambda w: length(w))) > 1200 THEN 'solid' ELSE 'spaced' END AS kind FROM ops_docs WHERE length(body) > 1200"
+
+
 @query
 def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
     """All pieces of all texts, oversized or not."""
