@@ -106,9 +106,10 @@ _SCRIPT = re.compile(
     r"|^noscript\b|<noscript|\bbrowser does(?: not|n't) support\b|^turn them on in your browser\b|^update it and allow\b|\bwithout (?:java ?script|client-side rendering)\W*$|^java ?script (?:disabled|required)\b",
     re.I,
 )
+_ERROR_IN = re.compile(rf"\((?:fehler|error|erreur|código|http) {_CODE}\)|\bpage is gone\W*$", re.I)
+#: What a line must begin with, so that it is matched at its beginning only.
 _ERROR = re.compile(
     rf"^(?:(?:http|error|fehler|erreur|código|status|server error)\s*)?{_CODE}\b(?:\W*$|\s*[-–—:|]|\s+(?:service|gateway|bad|not|internal|forbidden|unauthori[sz]ed|too many|error|page|client|server|access)\b)"
-    rf"|\((?:fehler|error|erreur|código|http) {_CODE}\)"
     r"|^(?:access|permission|zugriff|acceso|accès) (?:denied|verweigert|denegado|refusé)\W*$|^(?:page |file |seite |página )?(?:not found|forbidden|unauthori[sz]ed|nicht gefunden)\W*$"
     r"|^(?:page|site|service|view|dashboard|content) (?:is )?(?:temporarily )?(?:unavailable|not available)\W*$|^(?:bad )?gateway (?:error|time-?out)\W*$|^bad gateway\W*$|^internal server error\W*$"
     r"|^too many requests\W*$|^log-?in required\W*$|^(?:unexpected|unknown|fatal|internal) error\b.{0,30}$|^error code\W.{0,30}$|^error\W*$"
@@ -120,12 +121,12 @@ _ERROR = re.compile(
     r"|^contact the (?:site|page) (?:owner|administrator)\b|^(?:please )?try again (?:in a few|later)\b|^(?:slow down and )?retry in 9\b|^(?:go )?back to the start page\W*$|^reload or go back\W*$|^check your network\W*$"
     r"|^(?:la )?página no (?:encontrada|existe|disponible)\b|^vuelva al inicio\W*$|^(?:diese|die) seite (?:wurde nicht gefunden|existiert nicht|ist nicht verfügbar)\b|^zur startseite\W*$|^bitte versuchen sie es später\b"
     r"|^(?:la )?page (?:introuvable|non trouvée|indisponible)\b|^veuillez vous (?:re)?connecter\W*$|^erreur\b.{0,4}$"
-    r"|^traceback\b|^stack trace:|^(?:uncaught )?\w+(?:error|exception):|\bpage is gone\W*$|^(?:null|nil|none|undefined|nan|n/a|\[object object\])(?: (?:null|undefined|nan))*\W*$|^loading\W*$",
+    r"|^traceback\b|^stack trace:|^(?:uncaught )?\w+(?:error|exception):|^(?:null|nil|none|undefined|nan|n/a|\[object object\])(?: (?:null|undefined|nan))*\W*$|^loading\W*$",
     re.I,
 )
+_FILLER_IN = re.compile(r"\blorem ipsum dolor\b|\b(?:asdf|qwer|qwerty|hjkl|blah|bla)(?: (?:asdf|qwer|qwerty|hjkl|blah|bla)\b)+|\btest test test\b|\bx{4,} x{3,}\b", re.I)
 _FILLER = re.compile(
-    r"\blorem ipsum dolor\b|\b(?:asdf|qwer|qwerty|hjkl|blah|bla)(?: (?:asdf|qwer|qwerty|hjkl|blah|bla)\b)+|\btest test test\b|\bx{4,} x{3,}\b"
-    r"|^(?:sample|dummy|placeholder|filler|example) (?:text|content|paragraph)\b|^this is (?:a |an )?(?:dummy|sample|placeholder|example) (?:paragraph|text|page|content)\b|^click here to (?:edit|add|start)\b"
+    r"^(?:sample|dummy|placeholder|filler|example) (?:text|content|paragraph)\b|^this is (?:a |an )?(?:dummy|sample|placeholder|example) (?:paragraph|text|page|content)\b|^click here to (?:edit|add|start)\b"
     r"|^(?:enter|insert|add|type|write) (?:a |an |the |your |some )?(?:short |brief )?(?:description|text|title|summary|content|name)\b(?:(?! (?:to|in the form|into)\b).){0,50}(?:here|box|field|block)?\W*$"
     r"|^replace (?:it|this|me)\b.{0,30}$|^(?:text|inhalt|beschreibung) folgt\W*$|^hier steht\b.{0,40}$|^(?:contenido|texto) de (?:ejemplo|relleno|prueba)\b|^(?:sustituir|reemplazar|remplacer|ersetzen)\W*$|^(?:texte|contenu) (?:d'exemple|à venir|de remplissage)\b"
     r"|^new page\W*$|^start writing\b.{0,30}$|^untitled\W*$|^(?:coming soon|under construction|content goes here|text here)\W*$",
@@ -140,11 +141,15 @@ _PROSE = frozenset(
     " le les des du et ou est sont a à dans pour par sur qui que ne pas ce il nous vous au aux en".split()
 )
 _LATIN_WORD = re.compile(r"[^\W\d_]+")
+_LATIN_STEM = re.compile(rf"\b(?:{'|'.join(_LATIN)})")
 
 
 def is_pseudo_latin(line: str) -> bool:
     """Words of the traditional filler text and of its imitations, without the small words that hold prose together."""
-    words = _LATIN_WORD.findall(line.casefold())
+    low = line.casefold()
+    if not _LATIN_STEM.search(low):
+        return False
+    words = _LATIN_WORD.findall(low)
     if len(words) < 2:
         return False
     stems = sum(w.startswith(_LATIN) for w in words)
@@ -164,9 +169,10 @@ def evidence_of(line: str, closed: set[str]) -> str | None:
             return "placeholder"
     if _SCRIPT_WORD.search(bare) and _SCRIPT.search(bare):
         return "script"
-    if _FILLER.search(bare) or is_pseudo_latin(bare):
+    bare = bare.strip()
+    if _FILLER.match(bare) or _FILLER_IN.search(bare) or is_pseudo_latin(bare):
         return "filler"
-    if len(bare) <= 160 and _ERROR.search(_NUMBER_IN_ERROR.sub("9", bare.strip())):
+    if len(bare) <= 160 and (_ERROR.match(_NUMBER_IN_ERROR.sub("9", bare)) or _ERROR_IN.search(bare)):
         return "error"
     return None
 
