@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from sluiceway.config import EngineConfig
 from sluiceway.functions import text as X
 from sluiceway.operators.corpus import idf
-from sluiceway.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, plan_bytes
+from sluiceway.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, cut, plan_bytes
 
 PLACES = 6
 
@@ -69,13 +69,72 @@ def floors(scored: DataFrame, shares_content: F.Column, cfg: EngineConfig = Engi
     return scored.where(~weak & (shares_content | (F.col("bm25") >= 1.5 * cfg.min_score)))
 
 
-def search(queries: DataFrame, post: DataFrame, freq: DataFrame, stats: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """The hybrid ranking with floors: ``query_id``, ``chunk_id``, ``bm25``, ``cosine``, ``score``, ``rank``."""
-    scored = hybrid(bm25(queries, post, freq, stats, cfg), tfidf_cosine(queries, post, freq, stats), cfg)
-    content = query_terms(queries, content_only=True)
-    shared = post.select("chunk_id", "term").join(broadcast_if_small(content), "term").select("query_id", "chunk_id").distinct().withColumn("shares", F.lit(True))
-    scored = scored.join(shared, ["query_id", "chunk_id"], "left")
-    return top_k(floors(scored, F.coalesce("shares", F.lit(False)), cfg).drop("shares"), "score", cfg.top_k)
+def candidates(queries: DataFrame, post: DataFrame, freq: DataFrame, stats: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Both scores of all pairs that can pass the floors: ``query_id``, ``chunk_id``, ``bm25``, ``cosine``, ``shares`` (a content
+    word), ``light_bound``, ``best`` (the query's best BM25 of all chunks).
+
+    A chunk without a content word of the query must reach the higher floor by stop words
+    alone. The frequent ones can't: those whose greatest possible scores add up to less
+    than that floor are light. So only chunks with a content word or another stop word are
+    candidates; light words, held by most chunks, are looked up in a map of each candidate.
+    The best BM25 of a query scales the cosine; where the candidates' best is under what light
+    words could reach elsewhere, all chunks are scored for that query's best.
+    """
+    k1, b = cfg.k1, cfg.b
+    floor = 1.5 * cfg.min_score
+    content = query_terms(queries, content_only=True).select("query_id", "term", F.lit(True).alias("content"))
+    q = query_terms(queries).join(content, ["query_id", "term"], "left").join(freq, "term").join(F.broadcast(stats.select("n")))
+    q = q.withColumn("idf", idf(F.col("df"), F.col("n"))).withColumn("w", F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)
+    q = q.withColumn("bound", F.col("qtf") * F.col("idf") * (k1 + 1))
+    reach = F.sum(F.when(F.col("content").isNull(), F.col("bound")).otherwise(0.0)).over(Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    q = cut(q.withColumn("light", F.col("content").isNull() & (reach < floor * 0.999)).select("query_id", "term", "qtf", "idf", "w", "bound", "light", F.coalesce("content", F.lit(False)).alias("content")))
+    qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("w"), F.lit(2.0)))).alias("qn"), F.sum(F.when(F.col("light"), F.col("bound")).otherwise(0.0)).alias("light_bound"))
+    lights = q.where("light").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("bw"), (F.col("qtf") * F.col("w") * F.col("w")).alias("cw"))).alias("lights"))
+    sides = broadcast_if_small(qn.join(lights, "query_id", "left"))
+
+    # what is known of a chunk whatever the query: its norm, and the light words that it holds
+    weights = freq.join(F.broadcast(stats.select("n"))).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("dw"))
+    light_terms = q.where("light").select("term", F.lit(True).alias("is_light")).distinct()
+    d = post.join(weights, "term").join(broadcast_if_small(light_terms), "term", "left")
+    held = F.map_from_entries(F.collect_list(F.when(F.col("is_light"), F.struct("term", "tf"))))
+    chunk_side = d.groupBy("chunk_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("dw"), F.lit(2.0)))).alias("dn"), F.first("dl").alias("dl"), held.alias("held"))
+
+    saturated = lambda tf: tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hit = post.join(broadcast_if_small(q.where("not light")), "term").join(F.broadcast(stats.select("avgdl")))
+    cand = hit.groupBy("query_id", "chunk_id").agg(
+        F.sum(F.col("qtf") * F.col("idf") * saturated(F.col("tf"))).alias("b0"), F.sum(F.col("tf") * F.col("qtf") * F.col("w") * F.col("w")).alias("d0"), F.max("content").alias("shares")
+    )
+    x = cand.join(chunk_side, "chunk_id").join(sides, "query_id").join(F.broadcast(stats.select("avgdl")))
+    tf_of = lambda t: F.coalesce(F.try_element_at(F.col("held"), t["term"]), F.lit(0)).cast("double")
+    add = lambda f: F.coalesce(F.aggregate("lights", F.lit(0.0), lambda s, t: s + f(t)), F.lit(0.0))
+    x = x.withColumn("bm25", F.round(F.col("b0") + add(lambda t: t["bw"] * saturated(tf_of(t))), PLACES))
+    x = x.withColumn("cosine", F.round((F.col("d0") + add(lambda t: t["cw"] * tf_of(t))) / (F.col("dn") * F.col("qn")), PLACES))
+    x = x.select("query_id", "chunk_id", "bm25", "cosine", "shares", "light_bound")
+    x = cut(x.withColumn("best", F.max("bm25").over(Window.partitionBy("query_id"))))  # also read by ``bm25_first``
+    unsure = x.where((F.col("best") < F.col("light_bound")) & (F.col("light_bound") > 1.0)).select("query_id").distinct()
+    if not unsure.isEmpty():
+        full = bm25(queries.join(unsure, "query_id", "left_semi"), post, freq, stats, cfg).groupBy("query_id").agg(F.max("bm25").alias("true_best"))
+        x = cut(x.join(full, "query_id", "left").withColumn("best", F.greatest("best", F.coalesce("true_best", F.lit(0.0)))).drop("true_best"))
+    return x
+
+
+def bm25_first(cand: DataFrame, queries: DataFrame, post: DataFrame, freq: DataFrame, stats: DataFrame, k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """The ``k`` best chunks by BM25 alone. Candidates suffice for a query whose ``k``-th best is above what light words reach
+    elsewhere; the others are scored in full."""
+    top = top_k(cand.select("query_id", "chunk_id", "bm25", "light_bound"), "bm25", k)
+    sure = top.groupBy("query_id").agg(F.count("*").alias("c"), F.min(F.col("bm25") - F.col("light_bound")).alias("gap")).where((F.col("c") == k) & (F.col("gap") > 0)).select("query_id")
+    sure = cut(sure)
+    rest = queries.join(sure, "query_id", "left_anti")
+    full = top_k(bm25(rest, post, freq, stats, cfg), "bm25", k)
+    return top.join(sure, "query_id", "left_semi").select("query_id", "chunk_id", "bm25", "rank").unionByName(full.select("query_id", "chunk_id", "bm25", "rank"))
+
+
+def search(queries: DataFrame, post: DataFrame, freq: DataFrame, stats: DataFrame, cfg: EngineConfig = EngineConfig(), cand: DataFrame | None = None) -> DataFrame:
+    """The hybrid ranking with floors: ``query_id``, ``chunk_id``, ``bm25``, ``cosine``, ``score``, ``rank``; the same rows as
+    scoring every pair. ``cand``: the ``candidates``, where they are there already."""
+    x = candidates(queries, post, freq, stats, cfg) if cand is None else cand
+    x = x.withColumn("score", F.round(F.col("bm25") + cfg.dense_weight * F.col("cosine") * F.greatest("best", F.lit(1.0)), PLACES))
+    return top_k(floors(x, F.col("shares"), cfg).select("query_id", "chunk_id", "bm25", "cosine", "score"), "score", cfg.top_k)
 
 
 def title_grams(c: F.Column, low: int = 3, high: int = 5) -> F.Column:

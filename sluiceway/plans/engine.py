@@ -51,7 +51,8 @@ def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(),
     ``decision``, ``draft``, ``cited``, and the gate columns that led to it.
 
     ``canaries``: a registry of planted ``token``s, which all have the form ``canary_pattern``."""
-    hits = cut(retrieve.search(queries, c.postings, c.frequency, c.stats, cfg))
+    cand = retrieve.candidates(queries, c.postings, c.frequency, c.stats, cfg)
+    hits = cut(retrieve.search(queries, c.postings, c.frequency, c.stats, cfg, cand))
     terms = cut(grounding.terms(queries, c.content_frequency, c.stats))
     cover = grounding.coverage(grounding.support(hits, terms, c.forms))
     meta = c.chunks.select("chunk_id", "doc_id", "pos", "title", "text", "age_hours", "max_age_hours")
@@ -75,7 +76,7 @@ def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(),
     ok = (F.col("coverage") >= cfg.grounding) & F.col("keys_ok") & (F.lit(cfg.nonkey_rule == "off") | F.col("nonkeys_ok")) & (F.col("draft_coverage") >= cfg.draft_grounding)
     grounded = whole.join(draft_cover, "query_id").select("query_id", ok.alias("grounded"))
 
-    lexical = retrieve.top_k(retrieve.bm25(queries, c.postings, c.frequency, c.stats, cfg), "bm25", cfg.disagreement_k)
+    lexical = retrieve.bm25_first(cand, queries, c.postings, c.frequency, c.stats, cfg.disagreement_k, cfg)
     lexical = lexical.join(c.chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
     titles = retrieve.top_k(retrieve.title_cosine(queries, c.chunks), "cosine", cfg.disagreement_k, ties="title")
     first = c.chunks.groupBy("title").agg(F.min("doc_id").alias("doc_id"))

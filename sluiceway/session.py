@@ -53,6 +53,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each context, for workers that don't find it by themselves."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_sluiceway_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="sluiceway-code-")  # on the driver only; Spark sends the file on
+    path = os.path.join(folder, "sluiceway_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.join("sluiceway", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._sluiceway_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

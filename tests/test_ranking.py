@@ -73,6 +73,13 @@ def test_ranking(docs, queries):
     hits = retrieve.search(queries, post, freq, stats).collect()
     assert {r.query_id for r in hits} == {1, 2, 6} and all(r.rank <= 5 for r in hits)
     assert next(r.chunk_id for r in hits if r.query_id == 2 and r.rank == 1) == "d2::p0"
+    # candidates give the same ranking as all pairs
+    every = retrieve.hybrid(retrieve.bm25(queries, post, freq, stats), retrieve.tfidf_cosine(queries, post, freq, stats)).collect()
+    scores = {(r.query_id, r.chunk_id): r.score for r in every}
+    assert all(abs(scores[r.query_id, r.chunk_id] - r.score) < 2e-6 for r in hits)
+    for k in (1, 2):
+        first = retrieve.bm25_first(retrieve.candidates(queries, post, freq, stats), queries, post, freq, stats, k)
+        assert {(r.query_id, r.chunk_id, r.rank) for r in first.collect()} == {(r.query_id, r.chunk_id, r.rank) for r in retrieve.top_k(retrieve.bm25(queries, post, freq, stats), "bm25", k).collect()}
     assert retrieve.search(queries.limit(0), post, freq, stats).count() == 0
 
 
