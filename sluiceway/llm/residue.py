@@ -6,11 +6,12 @@ placeholder, filler or a notice that scripts are required.
 
 A line is boilerplate on its host when many of the host's records hold it amid other
 text: prose that reports, explains or quotes such things recurs so, whereas an error page
-that recurs stands (nearly) alone and stays in the residual.
+that recurs stands (nearly) alone and stays in the residual. Records whose lines free of
+evidence are the same count once, so copies of one residue page don't vouch for each other.
 
-Scale: the corpus is read twice, once for the counts and once for the evidence; only line
-hashes are shuffled, summed within each task first, so a host with a third of all rows
-sends each task's lines once. Evidence lines, a small share, meet the counts of their lines.
+Scale: the corpus is read twice, once for the evidence and once for the counts; only lines
+that are evidence somewhere are counted. Their hashes are shuffled, folded within each task
+first, and keyed by the text as well, so a host with a third of all rows is no hot key.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.session import cut
 
-#: A line is recurrent when at least this share of its host's records, and at least so many, hold it.
+#: A line is recurrent when at least this share of its host's distinct texts, and at least so many, hold it.
 RECURRENT_SHARE = 1 / 500
 RECURRENT_ROWS = 5
-#: ... and its records have on average at least so many distinct lines.
+#: ... and they have on average at least so many distinct lines, itself and those free of evidence.
 COMPANY = 8.0
+#: Lines that are evidence somewhere are broadcast up to so many.
+BROADCAST_LINES = 1_000_000
 
 # --- lines
 
@@ -186,40 +190,53 @@ _CLOSED = re.compile(r"</([A-Za-z][A-Za-z0-9_\-]*)>")
 
 
 def scan_lines(df: DataFrame, key: str, host: str, text: str, evidence_only: bool) -> DataFrame:
-    """One row per distinct line of each record: ``key``, ``host``, ``line`` (hash), ``n_lines`` of the record, and ``kind`` of evidence."""
+    """One row per distinct line of each record: ``key``, ``host``, ``line`` (hash), ``kind`` of evidence, ``rest`` (hash of the
+    record's distinct lines free of evidence) and ``n_lines`` (how many these are, with the line itself)."""
     import pyarrow as pa
+    import xxhash
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
             for k, h, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if not s:
                     continue
-                lines = lines_of(s)
+                closed = {x.casefold() for x in _CLOSED.findall(s)} if "</" in s else set()
+                kinds = {line: evidence_of(line, closed) for line in dict.fromkeys(lines_of(s))}
                 if evidence_only:
-                    closed = {x.casefold() for x in _CLOSED.findall(s)} if "</" in s else set()
-                    kinds = {}
-                    for line in lines:
-                        if line not in kinds:
-                            kinds[line] = evidence_of(line, closed)
                     seen = {line_hash(line): kind for line, kind in kinds.items() if kind}
+                    rest, free = None, set()
                 else:
-                    seen = dict.fromkeys(map(line_hash, set(lines)))
+                    seen = {}
+                    for line, kind in kinds.items():
+                        form = line_hash(line)
+                        seen[form] = seen.get(form) or kind
+                    free = {form for form, kind in seen.items() if not kind}
+                    rest = xxhash.xxh3_64_intdigest(b"".join(x.to_bytes(8, "big", signed=True) for x in sorted(free))) - (1 << 63)
                 for line, kind in seen.items():
-                    for col, v in zip(cols, (k, h, line, len(seen), kind)):
+                    for col, v in zip(cols, (k, h, line, kind, rest, len(free | {line}))):
                         col.append(v)
-            types = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "host", "line", "n_lines", "kind"])
+            types = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "host", "line", "kind", "rest", "n_lines"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(host).cast("string"), text).mapInArrow(scan, f"key {kind}, host string, line bigint, n_lines int, kind string")
+    return df.select(key, F.col(host).cast("string"), text).mapInArrow(scan, f"key {kind}, host string, line bigint, kind string, rest bigint, n_lines int")
 
 
-def boilerplate(df: DataFrame, key: str, host: str, text: str, share: float = RECURRENT_SHARE, rows: int = RECURRENT_ROWS, company: float = COMPANY) -> DataFrame:
-    """The recurrent lines of each host: ``host``, ``line`` (hash), ``records``."""
-    per_host = df.where(F.col(text).isNotNull()).groupBy(F.col(host).cast("string").alias("host")).agg(F.count("*").alias("host_records"))
+def boilerplate(
+    df: DataFrame, key: str, host: str, text: str, share: float = RECURRENT_SHARE, rows: int = RECURRENT_ROWS, company: float = COMPANY, among: DataFrame | None = None
+) -> DataFrame:
+    """The recurrent lines of each host, of those in ``among`` (``line``) if given: ``host``, ``line`` (hash), ``records``.
+
+    Copies count once: a line's ``records`` are the different sets of lines free of evidence that it stands amid, a host's
+    records its different texts."""
+    present = df.where(F.col(text).isNotNull())
+    per_host = present.groupBy(F.col(host).cast("string").alias("host")).agg(F.countDistinct(F.xxhash64(text)).alias("host_records"))
+    lines = scan_lines(df, key, host, text, evidence_only=False).select("host", "line", "rest", "n_lines")
+    if among is not None:
+        lines = lines.join(among, "line", "left_semi")
     counts = (
-        scan_lines(df, key, host, text, evidence_only=False)
+        lines.groupBy("host", "line", "rest").agg(F.max("n_lines").alias("n_lines"))
         .groupBy("host", "line").agg(F.count("*").alias("records"), F.sum("n_lines").alias("company"))
         .where((F.col("records") >= rows) & (F.col("company") >= company * F.col("records")))
     )
@@ -235,8 +252,10 @@ def find_residue(
     Null and blank texts hold no evidence; a null host is a host of its own; repeated rows
     of one key give one row; an empty table gives none; other columns are not read.
     """
-    marked = scan_lines(df, key, host, text, evidence_only=True)
-    known = boilerplate(df, key, host, text, share, rows, company).select(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "line")
+    marked = cut(scan_lines(df, key, host, text, evidence_only=True).select("key", "host", "line", "kind"))
+    among = cut(marked.select("line").distinct())
+    among = F.broadcast(among) if among.count() <= BROADCAST_LINES else among
+    known = boilerplate(df, key, host, text, share, rows, company, among).select(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "line")
     marked = marked.select("key", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "line", "kind")
     left = marked.join(known, ["host", "no_host", "line"], "left_anti")
     return left.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))

@@ -95,3 +95,15 @@ def test_against_brute_force(spark):
     assert got == want and 902 in want and len(want) > 20
     assert any("Access denied." in t and k not in want for k, _, t in rows if t)
     assert r.find_residue(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_vouch_for_each_other(spark):
+    page = [f"Field {w}: {{{{{w}}}}}" for w in ("owner", "team", "queue", "lease", "cache", "zone")] + [f"The {w} of this page is set by its owner." for w in ("title", "scope", "level", "state")]
+    prose = [f"The {a} of {b} stays as it is." for a in ("queue", "lease", "cache") for b in ("alpha", "beta", "gamma", "delta")]
+    rows = [(k, "\n".join(page)) for k in range(30)]
+    # the same page with other numbers, and with its placeholders only in part
+    rows += [(100 + k, "\n".join([*page, f"Printed {k} times."])) for k in range(10)] + [(200 + k, "\n".join(page[k % 6 :])) for k in range(10)]
+    # a line that recurs amid prose that differs is still boilerplate
+    rows += [(300 + k, "\n".join([*prose[:k], *prose[k + 1 :], "Access denied."])) for k in range(12)]
+    df = spark.createDataFrame([(k, "wiki", t) for k, t in rows], "doc_id int, source string, text string")
+    assert {x.doc_id for x in r.find_residue(df).collect()} == {k for k, _ in rows if k < 300}
