@@ -39,12 +39,11 @@ def keyboard_slip(seen: str, meant: str) -> bool:
     return seen[head] in near or any(next_keys(seen[head], c) for c in near)
 
 
-def correct(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``word``, ``meant``: the one word of ``vocabulary`` (term, df) a keyboard slip away, if there is just one left.
+def slips(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``word``, ``term``, ``df``, ``first``, ``last``: the words of ``vocabulary`` (term, df) a keyboard slip away, and whether they share the letters at the ends.
 
     Words of three letters or more stand for plain words of four or more; short ones keep
-    first and last letter. Ties go to the same first letter, then the same last, then the
-    most frequent. Candidates meet on spellings with one letter dropped, so no word is
+    first and last letter. Candidates meet on spellings with one letter dropped, so no word is
     compared with all others.
     """
     def spellings(c):
@@ -63,10 +62,18 @@ def correct(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
         return pd.Series([keyboard_slip(x, y) for x, y in zip(a, b)], dtype=bool)
 
     slip.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    pairs = pairs.where(F.pandas_udf(slip, "boolean")("word", "term"))
-    by = Window.partitionBy("word")
-    best = pairs.withColumn("r", F.rank().over(by.orderBy(first.cast("int").desc(), last.cast("int").desc(), F.desc("df")))).where("r = 1")
-    return best.groupBy("word").agg(F.count("*").alias("n"), F.first("term").alias("meant")).where("n = 1").select("word", "meant")
+    return pairs.where(F.pandas_udf(slip, "boolean")("word", "term")).select("word", "term", "df", first.alias("first"), last.alias("last"))
+
+
+def tied(found: DataFrame) -> DataFrame:
+    """``word``, ``tied``: the best of its ``slips``: those with the same first letter, then the same last, then the most frequent."""
+    best = found.withColumn("r", F.rank().over(Window.partitionBy("word").orderBy(F.col("first").cast("int").desc(), F.col("last").cast("int").desc(), F.desc("df")))).where("r = 1")
+    return best.groupBy("word").agg(F.sort_array(F.collect_set("term")).alias("tied"))
+
+
+def correct(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``word``, ``meant``: the one best word of ``vocabulary`` (term, df) a keyboard slip away, if there is just one."""
+    return tied(slips(unknown, vocabulary)).where(F.size("tied") == 1).select("word", F.col("tied")[0].alias("meant"))
 
 
 def neighbours(pairs: DataFrame, word: str, score: str, least: float, k: int, ties: str) -> DataFrame:

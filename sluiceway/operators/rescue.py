@@ -19,9 +19,30 @@ CHANNELS = {
 OFFERS = ("contact", "contacts", "oncall", "on-call", "pager", "notify", "notification", "notifications")
 
 
+# What follows the wh-word of a question.
+AUXILIARIES = ("is", "are", "was", "were", "do", "does", "did", "can", "could", "should", "would", "will")
+
+
+def known_words(frequency: DataFrame) -> DataFrame:
+    """``term``, ``df``: the words of the corpus, and those without content."""
+    plain = frequency.sparkSession.createDataFrame([(w,) for w in (*X.STOPWORDS, *X.FILLER_WORDS)], "term string").distinct()
+    return frequency.select("term", "df").unionByName(plain.join(frequency, "term", "left_anti").select("term", F.lit(0).cast("long").alias("df")))
+
+
+def fix_interrogatives(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``query_id``, ``query`` normalised, with a misspelt wh-word before an auxiliary put right ("wat is")."""
+    words = queries.select("query_id", F.posexplode(F.split(X.normalize_text(F.col("query")), " ")).alias("pos", "word")).where("word <> ''")
+    words = words.withColumn("next", F.lead("word").over(Window.partitionBy("query_id").orderBy("pos")))
+    asked = F.col("word").rlike("^[a-z]+$") & F.col("next").isin(*AUXILIARIES) & ~F.col("word").isin(*X.WH_WORDS)
+    found = lexicon.slips(words.where(asked).select(F.col("word").alias("term")), vocabulary).where(F.col("term").isin(*X.WH_WORDS)).groupBy("word").agg(F.min("term").alias("meant"))
+    x = words.join(broadcast_if_small(found), "word", "left").withColumn("word", F.when(asked, F.coalesce("meant", "word")).otherwise(F.col("word")))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ")
+    return queries.select("query_id").join(x.groupBy("query_id").agg(said.alias("query")), "query_id", "left")
+
+
 def rewrite(queries: DataFrame, vocabulary: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
-    """``query_id``, ``rewritten``: filler dropped; unknown words replaced by known synonyms, else by the word they are a
-    slip of, else by neighbours (``word``, ``priority``, ``like``) of the first resource that has any, else kept.
+    """``query_id``, ``rewritten``: filler and slips of filler dropped; unknown words replaced by known synonyms, else by
+    the word they are a slip of, else by neighbours (``word``, ``priority``, ``like``) of the first resource that has any, else kept.
 
     ``vocabulary``: ``term``, ``df``. Each step is a left join of the batch's distinct unknown words.
     """
@@ -30,7 +51,8 @@ def rewrite(queries: DataFrame, vocabulary: DataFrame, neighbours: DataFrame | N
     known = vocabulary.select(F.col("term").alias("word"))
     unknown = words.where(F.col("word").rlike("^[a-z]+$")).select("word").distinct().join(known, "word", "left_anti")
     syn = unknown.select("word", F.explode(X.synonyms(F.col("word"))).alias("like")).join(known.withColumnRenamed("word", "like"), "like", "left_semi").groupBy("word").agg(F.sort_array(F.collect_set("like")).alias("by_synonym"))
-    fixed = lexicon.correct(unknown.withColumnRenamed("word", "term"), vocabulary).select("word", F.array("meant").alias("by_slip"))
+    filler = F.forall("tied", lambda w: w.isin(*X.FILLER_WORDS))
+    fixed = lexicon.tied(lexicon.slips(unknown.withColumnRenamed("word", "term"), vocabulary)).select("word", F.when(filler, F.array().cast("array<string>")).when(F.size("tied") == 1, F.col("tied")).alias("by_slip"))
     out = unknown.join(syn, "word", "left").join(fixed, "word", "left")
     if neighbours is not None:
         near = lexicon.first_resource(neighbours.join(known.withColumnRenamed("word", "like"), "like", "left_semi")).groupBy("word").agg(F.sort_array(F.collect_set("like")).alias("by_neighbour"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluiceway.config import EngineConfig
-from sluiceway.operators import answer, corpus, freshness, grounding, hazard, intent, policy, retrieve
+from sluiceway.operators import answer, corpus, freshness, grounding, hazard, intent, policy, rescue, retrieve
 from sluiceway.operators.timestamps import normalise_timestamps
 from sluiceway.session import cut
 
@@ -46,14 +46,19 @@ def build_corpus(docs: DataFrame, sources: DataFrame, cfg: EngineConfig = Engine
     return Corpus(ch, post, cut(corpus.document_frequency(post)), cut(corpus.document_frequency(content)), cut(corpus.statistics(toks)), grounding.evidence_forms(toks))
 
 
-def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(), sessions: bool = False, canaries: DataFrame | None = None, canary_pattern: str = r"CANARY-[A-Z0-9-]+") -> DataFrame:
+def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(), sessions: bool = False, canaries: DataFrame | None = None, canary_pattern: str = r"CANARY-[A-Z0-9-]+", neighbours: DataFrame | None = None) -> DataFrame:
     """One row per query (``query_id``, ``query``; with ``sessions`` also ``session_id`` and ``seq``):
     ``decision``, ``draft``, ``cited``, and the gate columns that led to it.
 
-    ``canaries``: a registry of planted ``token``s, which all have the form ``canary_pattern``."""
-    cand = retrieve.candidates(queries, c.postings, c.frequency, c.stats, cfg)
-    hits = cut(retrieve.search(queries, c.postings, c.frequency, c.stats, cfg, cand))
-    terms = cut(grounding.terms(queries, c.content_frequency, c.stats))
+    Rankers, drafts and the contact gate read the query in words of the corpus, grounding reads it with slips put right,
+    the other gates as it was asked. ``canaries``: a registry of planted ``token``s, which all have the form
+    ``canary_pattern``; ``neighbours``: those of ``rescue.rewrite``."""
+    vocabulary = cut(rescue.known_words(c.frequency))
+    asked = cut(rescue.fix_interrogatives(queries, vocabulary))
+    rewritten = cut(rescue.rewrite(asked, vocabulary, neighbours).withColumnRenamed("rewritten", "query"))
+    cand = retrieve.candidates(rewritten, c.postings, c.frequency, c.stats, cfg)
+    hits = cut(retrieve.search(rewritten, c.postings, c.frequency, c.stats, cfg, cand))
+    terms = cut(grounding.terms(asked, c.content_frequency, c.stats, vocabulary))
     cover = grounding.coverage(grounding.support(hits, terms, c.forms))
     meta = c.chunks.select("chunk_id", "doc_id", "pos", "title", "text", "age_hours", "max_age_hours")
     h = freshness.check(hits.join(cover, ["query_id", "chunk_id"], "left").join(meta, "chunk_id"))
@@ -68,7 +73,7 @@ def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(),
     fresh = h.where("supporting and fresh")
     # evidence of a query: the forms of all its fresh chunks together
     joined = fresh.select("query_id", "chunk_id").join(c.forms, "chunk_id").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("forms"))).alias("forms")).withColumn("chunk_id", F.lit("all"))
-    drafts = cut(answer.draft(queries, fresh, cfg.answer_sentences))
+    drafts = cut(answer.draft(rewritten, fresh, cfg.answer_sentences))
     whole = grounding.coverage(_support_all(joined, terms))
     own = drafts.select("query_id", F.regexp_replace("draft", r" \[sources: [^\]]*\]$", "").alias("query"))
     draft_terms = grounding.terms(own, c.content_frequency, c.stats)
@@ -76,15 +81,15 @@ def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(),
     ok = (F.col("coverage") >= cfg.grounding) & F.col("keys_ok") & (F.lit(cfg.nonkey_rule == "off") | F.col("nonkeys_ok")) & (F.col("draft_coverage") >= cfg.draft_grounding)
     grounded = whole.join(draft_cover, "query_id").select("query_id", ok.alias("grounded"))
 
-    lexical = retrieve.bm25_first(cand, queries, c.postings, c.frequency, c.stats, cfg.disagreement_k, cfg)
+    lexical = retrieve.bm25_first(cand, rewritten, c.postings, c.frequency, c.stats, cfg.disagreement_k, cfg)
     lexical = lexical.join(c.chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
-    titles = retrieve.top_k(retrieve.title_cosine(queries, c.chunks), "cosine", cfg.disagreement_k, ties="title")
+    titles = retrieve.top_k(retrieve.title_cosine(rewritten, c.chunks), "cosine", cfg.disagreement_k, ties="title")
     first = c.chunks.groupBy("title").agg(F.min("doc_id").alias("doc_id"))
     dense = titles.join(first, "title").groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
     differ = retrieve.disagreement(lexical, dense, queries, cfg.disagreement_jaccard).select("query_id", "jaccard", "disagreed")
 
     out = queries
-    for part in (gates, grounded, differ, drafts):
+    for part in (gates, grounded, differ, drafts, rewritten.withColumnRenamed("query", "rewritten")):
         out = out.join(part, "query_id", "left")
     out = out.withColumn("n_retrieved", F.coalesce("n_retrieved", F.lit(0)))
     out = out.withColumn("request_cost", policy.request_cost(F.col("n_retrieved")))
@@ -92,7 +97,7 @@ def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(),
         out = policy.budget(out, "session_id", ("seq",), "request_cost", cfg.session_budget)
     else:
         out = out.withColumn("over_budget", F.lit(False))
-    out = out.withColumn("pii_action", F.when(F.col("draft").isNotNull(), hazard.action(F.col("draft"), F.col("query"), CONTACT_PHRASES)))
+    out = out.withColumn("pii_action", F.when(F.col("draft").isNotNull(), hazard.action(F.col("draft"), F.col("rewritten"), CONTACT_PHRASES))).drop("rewritten")
     out = out.withColumn("__i", intent.intent(F.col("query")))
     proposed = F.col("__i.status") == "propose"
     out = out.withColumn("write_action", F.when(proposed, F.col("__i.action"))).withColumn("write_target", F.when(proposed, F.col("__i.target"))).withColumn("write_ambiguous", F.col("__i.status") == "ambiguous").drop("__i")

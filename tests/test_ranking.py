@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.config import EngineConfig
 from sluiceway.functions import text as X
-from sluiceway.operators import answer, corpus, grounding, hazard, policy, retrieve
+from sluiceway.operators import answer, corpus, grounding, hazard, policy, rescue, retrieve
 from sluiceway.plans import engine
 
 DOCS = [
@@ -145,3 +145,15 @@ def test_engine(spark, docs, queries):
     planted = spark.createDataFrame([("workers",)], "token string")
     got = {r.query_id: (r.decision, r.write_target) for r in engine.ask_batch(asked, c, EngineConfig(nonkey_rule="off"), canaries=planted, canary_pattern="work[a-z]+").collect()}
     assert got == {1: ("PROPOSE_WRITE", "checkout-api"), 2: ("REFUSE_AMBIGUOUS_WRITE", None), 3: ("REFUSE_CANARY", None)}
+
+
+def test_engine_reads_misspelt_questions(spark, docs):
+    sources = spark.createDataFrame([("wiki", 48.0, "UTC", "YMD"), ("runbook", 24.0, "UTC", "YMD")], "source_system string, max_age_hours double, home_zone string, date_order string")
+    c = engine.build_corpus(docs, sources)
+    asked = spark.createDataFrame([(1, "What is the checkout queue depth?"), (2, "Plese, wat is the chekout qeue depht?"), (3, "What is the zebra queue depth?")], "query_id int, query string")
+    out = {r.query_id: r for r in engine.ask_batch(asked, c, EngineConfig(nonkey_rule="off")).collect()}
+    assert out[2].decision == out[1].decision == "ANSWER" and out[2].draft == out[1].draft and out[3].decision != "ANSWER"
+    vocabulary = rescue.known_words(c.frequency)
+    t = grounding.terms(rescue.fix_interrogatives(asked, vocabulary), c.content_frequency, c.stats, vocabulary).orderBy("query_id", "pos").collect()
+    assert [(r.term, r.kind) for r in t if r.query_id == 2] == [("checkout", "typo"), ("queue", "typo"), ("depth", "typo")]
+    assert [r.kind for r in t if r.query_id == 3] == ["unknown", "known", "known"]
