@@ -64,20 +64,22 @@ def word_vectors(cells: DataFrame, words: int = 6000, dims: int = 32) -> DataFra
     return arrays.select(F.col("a").alias("word"), F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"))
 
 
-def translation(pairs: DataFrame, source: str, target: str, rounds: int = 5) -> DataFrame:
+def translation(pairs: DataFrame, source: str, target: str, rounds: int = 5, weight: str | None = None) -> DataFrame:
     """IBM Model 1 by expectation-maximisation: ``s``, ``t``, ``p`` = P(t | s), with an empty source word.
 
-    ``pairs`` has an id ``pair`` and word arrays ``source`` and ``target``. Each round is one
+    ``pairs`` has an id ``pair``, word arrays ``source`` and ``target`` and, if named, a ``weight``: how many rows the
+    pair stands for, each of which counts. Each round is one
     join and two aggregates; the table is materialised each round, so lineage stays short.
     """
     src = pairs.select("pair", F.explode(F.array_union(F.col(source), F.array(F.lit("")))).alias("s"))
-    tgt = pairs.select("pair", F.explode(F.array_distinct(F.col(target))).alias("t"))
+    rows = F.col(weight) if weight else F.lit(1)
+    tgt = pairs.select("pair", rows.cast("double").alias("n"), F.explode(F.array_distinct(F.col(target))).alias("t"))
     both = cut(src.join(tgt, "pair"))
     table = both.select("s", "t").distinct().withColumn("p", F.lit(1.0) / F.count("*").over(Window.partitionBy("s")))
     for _ in range(rounds):
         e = both.join(table, ["s", "t"])
         z = e.groupBy("pair", "t").agg(F.sum("p").alias("z"))
-        counts = e.join(z, ["pair", "t"]).groupBy("s", "t").agg(F.sum(F.col("p") / F.col("z")).alias("c"))
+        counts = e.join(z, ["pair", "t"]).groupBy("s", "t").agg(F.sum(F.col("n") * F.col("p") / F.col("z")).alias("c"))
         table = cut(counts.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("s"))).select("s", "t", "p"))
     return table
 

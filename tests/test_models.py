@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluiceway.operators import evaluate, freshness, lexicon, train
+from sluiceway.plans import registry
 from sluiceway.sources import files
 from sluiceway.streaming import monitor
 
@@ -86,6 +87,22 @@ def test_translation(spark):
     assert all(abs(sum(p for p, _ in v) - 1) < 1e-9 for v in best.values())
 
 
+def test_translation_counts_every_row(spark):
+    data = [(1, ["haus"], ["house"], 1), (2, ["haus"], ["home"], 3), (3, ["haus", "rot"], ["house", "red"], 2)]
+    rows = [(100 * i + k, s, t) for i, s, t, n in data for k in range(n)]
+    weighted = train.translation(spark.createDataFrame(data, "pair int, s array<string>, t array<string>, n long"), "s", "t", rounds=3, weight="n")
+    single = train.translation(spark.createDataFrame(rows, "pair int, s array<string>, t array<string>"), "s", "t", rounds=3)
+    got, want = ({(r.s, r.t): r.p for r in x.collect()} for x in (weighted, single))
+    assert got == pytest.approx(want) and got["haus", "home"] > got["haus", "house"]
+
+
+def test_translation_table_is_whole(spark, tmp_path):
+    rows = [("alpha", f"word{a}{b}") for a in "abcdefghijklm" for b in "abcdefghijk"] + [("alpha", "often")] * 50
+    spark.createDataFrame(rows, "reason string, query string").write.parquet(str(tmp_path / "case_scores.parquet"))
+    got = {r.t: r.p for r in registry.QUERIES["translation_table"](spark, str(tmp_path)).where("s = 'alpha'").collect()}
+    assert len(got) == 144 and got["often"] == pytest.approx(50 / 193, abs=2e-6)
+
+
 def test_logistic_and_auc(spark):
     rng = random.Random(2)
     rows = [(i, x := rng.gauss(0, 1), y := rng.gauss(0, 1), bool(x + 0.5 * y + rng.gauss(0, 0.4) > 0)) for i in range(600)]
