@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions import text as X
 from sluiceway.operators.lexicon import _AT, next_keys
+from sluiceway.session import cut
 
 KINDS = ("typo", "polite", "word_order", "synonym")
 # Polite openings.
@@ -74,19 +75,26 @@ def swapped_words(questions: DataFrame, vocabulary: DataFrame, per_word: int = 1
     """The null control: ``query_id``, ``word``, ``other``, ``query`` with a content word replaced by an unrelated one.
 
     The other word is the one whose salted hash follows the hash of (question, word) in a
-    numbered vocabulary, so that no question meets all words."""
+    numbered vocabulary, so that no question meets all words. An empty lane gives way to the
+    next filled one, and a word that draws itself takes the next number of its lane, or of the
+    next lane: only a vocabulary of that one word leaves it without a control."""
     from pyspark.sql.window import Window
 
     v = vocabulary.select("term").where(F.col("term").rlike("^[a-z]{4,}$")).distinct()
-    n = v.count()
     numbered = v.withColumn("no", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("term"), F.lit(64))).orderBy("term")))
-    numbered = numbered.withColumn("lane", F.pmod(F.xxhash64("term"), F.lit(64)))
+    numbered = cut(numbered.withColumn("lane", F.pmod(F.xxhash64("term"), F.lit(64))))
     sizes = numbered.groupBy("lane").agg(F.max("no").alias("size"))  # 64 rows at most
     w = questions.select("query_id", "query", F.explode(F.array_distinct(X.content_tokens(X.tokens(X.normalize_text(F.col("query")))))).alias("word")).where(F.col("word").rlike("^[a-z]{4,}$"))
-    if not n:
+    if numbered.isEmpty():
         return w.select("query_id", "word", F.col("word").alias("other"), "query").limit(0)
     w = w.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_word))))
-    w = w.withColumn("h", F.xxhash64(F.lit(seed), "query_id", "word", "draw")).withColumn("lane", F.pmod("h", F.lit(64)))
-    w = w.join(F.broadcast(sizes), "lane").withColumn("no", (F.pmod(F.shiftright("h", 8), F.col("size")) + 1).cast("int"))
-    out = w.join(numbered, ["lane", "no"]).where("term <> word")
+    hop = sizes.crossJoin(questions.sparkSession.range(64).withColumnRenamed("id", "start"))
+    hop = hop.groupBy("start").agg(F.min_by(F.struct("lane", "size"), F.pmod(F.col("lane") - F.col("start"), F.lit(64))).alias("l"), F.min_by("lane", F.pmod(F.col("lane") - F.col("start") - 1, F.lit(64))).alias("after"))
+    after = hop.select(F.col("start").alias("lane"), "after")
+    hop = hop.select("start", "l.lane", "l.size").join(after, "lane")
+    w = w.withColumn("h", F.xxhash64(F.lit(seed), "query_id", "word", "draw")).withColumn("start", F.pmod("h", F.lit(64)))
+    w = w.join(F.broadcast(hop), "start").withColumn("no", (F.pmod(F.shiftright("h", 8), F.col("size")) + 1).cast("int"))
+    drawn = w.join(numbered, ["lane", "no"]).select("query_id", "query", "word", "lane", "no", "size", "after", "term")
+    itself = drawn.where("term = word").drop("term").withColumn("no", F.when(F.col("size") > 1, F.col("no") % F.col("size") + 1).otherwise(1).cast("int")).withColumn("lane", F.when(F.col("size") > 1, F.col("lane")).otherwise(F.col("after")))
+    out = drawn.where("term <> word").select("query_id", "query", "word", "term").unionByName(itself.join(numbered, ["lane", "no"]).where("term <> word").select("query_id", "query", "word", "term"))
     return out.select("query_id", "word", F.col("term").alias("other"), F.regexp_replace(F.lower("query"), F.concat(F.lit(r"\b"), "word", F.lit(r"\b")), F.col("term")).alias("query"))

@@ -340,8 +340,9 @@ def perturbed_questions(spark: SparkSession, base: str) -> DataFrame:
 
 @query("swapped_words")
 def swapped_words(spark: SparkSession, base: str) -> DataFrame:
-    """The null control for the asked queries: each content word replaced by another of the corpus."""
-    return perturb.swapped_words(_asked(spark, base), corpus.document_frequency(corpus.postings(corpus.tokenised(_chunks(spark, base)))))
+    """The null control for all labelled questions: each content word replaced by another of the corpus."""
+    q = table(spark, base, "eval_rows").where("query is not null").select(F.col("rec_id").alias("query_id"), "query")
+    return perturb.swapped_words(q, corpus.document_frequency(corpus.postings(corpus.tokenised(_chunks(spark, base)))))
 
 
 @query("write_intents")

@@ -56,3 +56,14 @@ def test_perturb(spark):
     assert got and all(r.word != r.other and r.other in r.query for r in got)
     assert sorted(got) == sorted(perturb.swapped_words(df.repartition(3), v, per_word=3).collect())
     assert perturb.swapped_words(df, v.limit(0)).count() == 0
+
+
+def test_swapped_words_drops_none(spark):
+    q = spark.createDataFrame([(k, "queue depth of the ledger") for k in range(40)], "query_id int, query string")
+    for words in (["queue", "depth"], ["queue", "depth", "ledger"]):
+        v = spark.createDataFrame([(w,) for w in words], "term string")
+        got = perturb.swapped_words(q, v).collect()
+        assert {(r.query_id, r.word) for r in got} == {(k, w) for k in range(40) for w in ("queue", "depth", "ledger")} and len(got) == 120
+        assert all(r.word != r.other and r.other in words for r in got)
+    only = perturb.swapped_words(q, spark.createDataFrame([("queue",)], "term string")).collect()
+    assert {r.word for r in only} == {"depth", "ledger"} and len(only) == 80
