@@ -81,3 +81,53 @@ def test_hot_document(spark):
     docs = [(k, "before it " + item if k % 3 == 0 else f"other text number {k} " * 9) for k in range(300)]
     out = c.find_leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(1, item)], "item_id int, item_text string"))
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 300, 3))
+
+
+def test_both_ways_of_meeting(spark):
+    """Few items are probed in the scan, many are joined by a shuffle: the same rows."""
+    docs, items = corpus(random.Random(5))
+    d, i = spark.createDataFrame(docs, "doc_id int, text string, item_id int"), spark.createDataFrame(items, "item_id bigint, item_text string, text string")
+    assert sorted(c.find_leaks(d, i).collect()) == sorted(c.find_leaks(d, i, broadcast_rows=0).collect())
+
+
+def test_signature_is_smaller_than_the_text():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (100, 1000, 20_000, 100_000):
+        d = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert len(c.signature(d, c.size_class(n))) <= 0.9 * n
+
+
+def test_recall_against_exact_join():
+    """Documents of all sizes that share six to thirty shingles with an item: how many meet it by minima, against all that share one."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    met = {6: 0, 11: 0, 30: 0}
+    for shared in met:
+        for k in range(300):
+            common = rng.integers(0, 1 << 64, shared, dtype=np.uint64)
+            doc = np.unique(np.concatenate([common, rng.integers(0, 1 << 64, int(10 ** rng.uniform(1, 4.5)), dtype=np.uint64)]))
+            item = np.unique(np.concatenate([common, rng.integers(0, 1 << 64, 56 - shared, dtype=np.uint64)]))
+            cls = c.size_class(len(doc))
+            met[shared] += len(np.intersect1d(c.signature(doc, cls), c.signature(item, cls))) >= c.MIN_SHARED
+    assert met[6] >= 298 and met[11] == 300 and met[30] == 300
+
+
+def test_long_item_and_repeats():
+    """An item of 50,000 words, a document of its middle, and texts of one repeated word: memory stays in proportion."""
+    import tracemalloc
+
+    words = [f"w{i}" for i in range(50_000)]
+    item, doc = c.word_hashes(" ".join(words)), c.word_hashes(" ".join(words[20_000:45_000]))
+    same = c.word_hashes("a " * 3000)
+    tracemalloc.start()
+    assert c.longest_run(doc, item) == 25_000
+    assert c.longest_run(same, same) == 3000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert len(c.windows_of(item)) == 1666 and c.windows_of(item[:20])[0].size == 20
+    for n in (59, 60, 61, 89, 90, 91, 200):  # each run of 15 words is in a window
+        wins = [set(x.tolist()) for x in c.windows_of(item[:n])]
+        assert all(any(set(item[a : a + 15].tolist()) <= w for w in wins) for a in range(n - 14))
