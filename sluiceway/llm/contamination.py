@@ -187,15 +187,18 @@ def item_signatures(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, classes, parts = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.uint64)]
             for row, (k, s) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if s is None or k is None:
                     continue
                 distinct = [np.unique(shingle_hashes(x)) for x in windows_of(word_hashes(s))]
                 for cls in range(FIRST_CLASS, LAST_CLASS + 1):
                     m = np.unique(np.concatenate([signature(d, cls) for d in distinct]))
-                    if len(m):
-                        col = batch.column(0).take(pa.array(np.full(len(m), row)))
-                        yield pa.RecordBatch.from_arrays([col, pa.array(np.full(len(m), cls, np.int32)), pa.array(m.view(np.int64))], names=["key", "cls", "minimum"])
+                    rows.append(np.full(len(m), row))
+                    classes.append(np.full(len(m), cls, np.int32))
+                    parts.append(m)
+            arrays = [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(classes)), pa.array(np.concatenate(parts).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "cls", "minimum"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(sign, f"key {kind}, cls int, minimum bigint")
