@@ -33,13 +33,23 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return found.select(F.least("train_rec", "other_rec").alias("rec_a"), F.greatest("train_rec", "other_rec").alias("rec_b"))
 
 
+@query
+def p1_coverage(spark: SparkSession, base: str) -> DataFrame:
+    """Per record outside train that a train record covers to four fifths or more: its best coverage, and whether a train record asks the same."""
+    pairs, members = overlap.find_overlaps(_questions(spark, base))
+    best = pairs.groupBy(F.col("other_fid").alias("fid")).agg(F.max("coverage").alias("coverage"), F.max("same").alias("same"), F.count("*").alias("texts"))
+    hits = members.where("split <> 'train'").join(best, "fid")
+    return hits.groupBy(F.col("rec").alias("rec_id"), "split", "source").agg(F.round(F.max("coverage"), 6).alias("coverage"), F.max("same").alias("same"), F.max("texts").alias("train_texts"))
+
+
 @query
 def p1_report(spark: SparkSession, base: str) -> DataFrame:
-    """Per split and source: its records, those that occur in train, and how much of them is covered at best on average."""
+    """Per split and source: its records, those that ask what a record in train asks, and how much of them is covered at best on average."""
     records = _questions(spark, base)
     pairs, members = overlap.find_pairs(records)
-    best = pairs.groupBy("other_tid").agg(F.max("coverage").alias("coverage"))
-    hit = members.where("split <> 'train'").join(best, F.col("tid") == F.col("other_tid")).groupBy("split", "source").agg(F.count("*").alias("overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    best = pairs.groupBy(F.col("other_fid").alias("fid")).agg(F.max("coverage").alias("coverage"))
+    hit = members.where("split <> 'train'").join(best, "fid").groupBy("rec", "split", "source").agg(F.max("coverage").alias("coverage"))
+    hit = hit.groupBy("split", "source").agg(F.count("*").alias("overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
     total = records.where("split <> 'train'").groupBy("split", "source").agg(F.count("*").alias("records"))
     hit = hit.select(F.col("split").alias("s"), F.col("source").alias("o"), "overlapping", "mean_coverage")
     return total.join(hit, (F.col("split") == F.col("s")) & F.col("source").eqNullSafe(F.col("o")), "left").select("split", "source", "records", F.coalesce("overlapping", F.lit(0)).alias("overlapping"), "mean_coverage")
