@@ -204,12 +204,21 @@ def item_signatures(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(sign, f"key {kind}, cls int, minimum bigint")
 
 
-def longest_run(doc: np.ndarray, item: np.ndarray, min_run: int = MIN_RUN, replaced_of: int = REPLACED_OF) -> int:
+def least_shared(min_run: int = MIN_RUN, replaced_of: int = REPLACED_OF) -> int:
+    """How many shingles of a document an item holds at least, if a run of ``min_run`` words or more leaks: a replaced word spoils as many as it has words."""
+    return max(1, min(n - SHINGLE + 1 - SHINGLE * (n // replaced_of) for n in range(min_run, min_run + 5 * replaced_of)))
+
+
+def longest_run(doc: np.ndarray, item: np.ndarray, min_run: int = MIN_RUN, replaced_of: int = REPLACED_OF, ds: np.ndarray | None = None, its: np.ndarray | None = None) -> int:
     """The longest run of item words that ``doc`` holds in a row, at most one in ``replaced_of`` replaced, the ends
-    not replaced; 0 if none has ``min_run`` words."""
-    ds, its = shingle_hashes(doc), shingle_hashes(item)
+    not replaced; 0 if none has ``min_run`` words. ``ds``, ``its``: the shingles of both, if they are at hand."""
+    ds = shingle_hashes(doc) if ds is None else ds
+    its = shingle_hashes(item) if its is None else its
     if not len(ds) or not len(its):
         return 0
+    # exact containment first: few pairs that share some shingle share enough of them
+    if np.count_nonzero(np.isin(ds, its)) < least_shared(min_run, replaced_of):
+        return 0
     best = 0
     for d in _diagonals(ds, its):
         i0, i1 = max(0, -d), min(len(item), len(doc) - d)
@@ -270,6 +279,7 @@ def find_leaks(
         .groupBy("doc", "item").agg(F.count("*").alias("shared"))
         .where(F.col("shared") >= MIN_SHARED).select("doc", "item")
     )
+    met = cut(met)
     wanted = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).where("item_text is not null").distinct()
     per_doc = met.groupBy("doc").agg(F.count("*").alias("n")).select(F.col("doc").alias("d"), F.ceil(F.col("n") / ITEMS_PER_ROW).alias("blocks"))
     # the items of a document in rows of a bounded number each, so that its text travels once for each of these
@@ -283,18 +293,21 @@ def find_leaks(
     pairs = texts.join(F.broadcast(blocks) if weight <= BROADCAST_BYTES else blocks, "doc")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             rows, out_i, out_n = [], [], []
             for row, (s, its) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 doc = word_hashes(s)
+                ds = shingle_hashes(doc)
                 for it in its:
                     text = it["item_text"]
                     if text not in known:
                         if len(known) > 20_000:
                             known.clear()
-                        known[text] = word_hashes(text)
-                    if n := longest_run(doc, known[text], min_run, replaced_of):
+                        words = word_hashes(text)
+                        known[text] = words, shingle_hashes(words)
+                    words, shingles = known[text]
+                    if n := longest_run(doc, words, min_run, replaced_of, ds, shingles):
                         rows.append(row)
                         out_i.append(it["item"])
                         out_n.append(n)

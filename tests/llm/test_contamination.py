@@ -131,3 +131,7 @@ def test_long_item_and_repeats():
     for n in (59, 60, 61, 89, 90, 91, 200):  # each run of 15 words is in a window
         wins = [set(x.tolist()) for x in c.windows_of(item[:n])]
         assert all(any(set(item[a : a + 15].tolist()) <= w for w in wins) for a in range(n - 14))
+
+
+def test_least_shared():
+    assert c.least_shared() == 6 and c.least_shared(15, 5) == 1
