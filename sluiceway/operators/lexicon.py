@@ -21,48 +21,43 @@ def next_keys(a: str, b: str) -> bool:
     return abs(ya - yb) <= 1 and abs(xa - xb) <= 1
 
 
+_BESIDE = {a: "".join(b for b in _AT if next_keys(a, b)) for a in _AT}
+
+
+def slips_of(word: str) -> set[str]:
+    """All that ``word`` may become by one slip: two letters swapped, one dropped or doubled, a neighbouring key hit instead of it or beside it."""
+    out = set()
+    for i, c in enumerate(word):
+        head, tail = word[:i], word[i + 1 :]
+        out |= {head + tail, head + c + c + tail, head + tail[:1] + c + tail[1:]}
+        for k in _BESIDE.get(c, ""):
+            out |= {head + k + tail, head + k + c + tail, head + c + k + tail}
+    return out - {word}
+
+
 def keyboard_slip(seen: str, meant: str) -> bool:
-    """Whether ``seen`` is ``meant`` after one slip: two letters swapped, one dropped, one doubled or a neighbouring key hit."""
-    n, m = len(seen), len(meant)
-    if seen == meant or abs(n - m) > 1:
-        return False
-    head = next((i for i, (x, y) in enumerate(zip(seen, meant)) if x != y), min(n, m))
-    if n == m:
-        if seen[head + 1 :] == meant[head + 1 :]:
-            return next_keys(meant[head], seen[head])
-        return seen[head : head + 2] == meant[head : head + 2][::-1] and seen[head + 2 :] == meant[head + 2 :]
-    if n < m:
-        return seen[head:] == meant[head + 1 :]
-    if seen[head + 1 :] != meant[head:]:
-        return False
-    near = {meant[i] for i in (head - 1, head) if 0 <= i < m}
-    return seen[head] in near or any(next_keys(seen[head], c) for c in near)
+    """Whether ``seen`` is one of the slips of ``meant``."""
+    return seen in slips_of(meant)
 
 
 def slips(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``word``, ``term``, ``df``, ``first``, ``last``: the words of ``vocabulary`` (term, df) a keyboard slip away, and whether they share the letters at the ends.
 
     Words of three letters or more stand for plain words of four or more; short ones keep
-    first and last letter. Candidates meet on spellings with one letter dropped, so no word is
-    compared with all others.
+    first and last letter. The slips of each word of the vocabulary are made once, and what
+    is unknown meets them by equality.
     """
-    def spellings(c):
-        n = F.length(c)
-        cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))
-        return F.explode(F.array_distinct(F.concat(F.array(c), cut)))
 
+    def all_of(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: sorted(slips_of(w)))
+
+    all_of.__annotations__ = {"words": pd.Series, "return": pd.Series}
     w = unknown.select(F.col("term").alias("word")).distinct().where(F.col("word").rlike("^[a-z]{3,}$")).join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
-    v = vocabulary.where(F.col("term").rlike("^[a-z]{4,}$"))
-    pairs = w.select("word", spellings(F.col("word")).alias("s")).join(v.select("term", "df", spellings(F.col("term")).alias("s")), "s").select("word", "term", "df").distinct()
+    v = vocabulary.where(F.col("term").rlike("^[a-z]{4,}$")).select("term", "df", F.explode(F.pandas_udf(all_of, "array<string>")("term")).alias("word"))
+    pairs = v.join(w, "word").select("word", "term", "df").distinct()
     same = lambda f: f(F.col("word")) == f(F.col("term"))
     first, last = same(lambda c: F.substring(c, 1, 1)), same(lambda c: F.substring(c, -1, 1))
-    pairs = pairs.where((F.length("word") >= 5) | (first & last))
-
-    def slip(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([keyboard_slip(x, y) for x, y in zip(a, b)], dtype=bool)
-
-    slip.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return pairs.where(F.pandas_udf(slip, "boolean")("word", "term")).select("word", "term", "df", first.alias("first"), last.alias("last"))
+    return pairs.where((F.length("word") >= 5) | (first & last)).select("word", "term", "df", first.alias("first"), last.alias("last"))
 
 
 def tied(found: DataFrame) -> DataFrame:

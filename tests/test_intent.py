@@ -35,3 +35,15 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "Please restart checkout-api"), (2, None), (3, "x " * 50_000)], "i int, t string")
     assert [r.s for r in df.select("i", intent(F.col("t"))["status"].alias("s")).orderBy("i").collect()] == ["propose", "none", "none"]
     assert df.limit(0).select(intent(F.col("t")).alias("x")).count() == 0
+
+
+def test_column_as_message(spark):
+    """The column expression and the reader of single messages agree, on the questions of the test tables and on made-up ones."""
+    import random
+
+    rng = random.Random(2)
+    bits = ["please", "can you", "don't", "restart", "scale up", "clear", "the cache", "delete", "increase", "replicas", "checkout-api", "on-call", "page", "if it fails again", ",", "?", "we", "is", "how do we", "policy", "but", "update", "let us", "do not", "ledger_store", "\n"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(400)] + ["", " ", None, "Ｐlease restart it"[1:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("t", intent(F.col("t")).alias("s")).collect():
+        assert r.s.asDict() == read_intent(r.t), r.t
