@@ -2,17 +2,23 @@
 
 Method: a skip-chain conditional random field. A text's units are its words and what has
 the form of an address, a mail address or a number; each unit has a label. Potentials are
-log-linear in the unit's features (form, cues around it, likeness to the names of the
-roster) and tie neighbours; distant units that are written alike are tied by skip edges.
+log-linear in the unit's features (form, cues around it, likeness to names) and tie
+neighbours; distant units that are written alike, or nearly so, are tied by skip edges.
 Labels are inferred by loopy max-product message passing over both kinds of edges, so that
-a name or number read with certainty in one place is read likewise in the others.
+a name or number read with certainty in one place is read likewise in the others; a
+stretch without skip edges is solved exactly.
 
-Weights are learned by an averaged structured perceptron from made-up sentences, in which
-names of the roster and numbers of all forms stand in the contexts below and in none, and
-from sentences of a bounded sample of the texts that hold nothing of the kind.
+Weights are learned by an averaged structured perceptron from made-up sentences of everyday
+office, travel and trade, in which names and numbers of all forms stand in contexts with
+cues and in none, and from sentences of a bounded sample of the texts that hold nothing of
+the kind. The weights of the two kinds of skip edges are learned in the same way from
+made-up texts that name somebody or something again.
 
-Scale: one pass over the texts, nothing shuffled. The model is a bounded dictionary made on
-the driver; texts without a unit that may be labelled are passed over.
+What is known of words and names is not sampled: all names of the roster and all words
+frequent in all the texts (``frequent_words``) are looked up.
+
+Scale: a count of words and one pass over the texts; no text is shuffled. Texts without a
+unit that may be labelled are passed over.
 """
 
 from __future__ import annotations
@@ -33,13 +39,24 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ("O", "TITLE", "GIVEN", "INITIAL", "PARTICLE", "FAMILY", "EMAIL", "PHONE", "ID", "ADDRESS")
 O, TITLE, GIVEN, INITIAL, PARTICLE, FAMILY, EMAIL, PHONE, ID, ADDRESS = range(10)
 KIND_OF = {EMAIL: "email", PHONE: "phone", ID: "id_number", ADDRESS: "address"}
-#: Bounds of what the model is fitted on: names of the roster, sampled texts, made-up sentences.
-ROSTER_ROWS, SAMPLE_ROWS, SENTENCES, EPOCHS, SEED = 5000, 1500, 4000, 5, 11
-ROUNDS = 6
+#: Bounds of what the weights are fitted on: names of the roster, texts of a field whose sentences are drawn, sentences drawn of
+#: them, made-up sentences, quiet ones beside these, made-up texts for the skip edges.
+ROSTER_ROWS, SAMPLE_ROWS, SAMPLE_SENTENCES, SENTENCES, QUIET, REPEATS, EPOCHS, SEED = 5000, 1500, 4000, 4000, 2000, 150, 5, 11
+#: A word is frequent if at least so many texts, and one in so many of them, hold it; so there are at most FREQUENT_OF times as many as a text has words.
+FREQUENT_ROWS, FREQUENT_OF = 3, 20_000
+#: Sweeps of message passing at most; it ends when no message moves any more, after these with the beliefs reached.
+ROUNDS = 60
 
 # Titles, name particles, and words that common given names share with ordinary prose.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir madam herr frau hr fr monsieur madame mme mlle m señor señora sr sra don doña".split())
 PARTICLES = frozenset("van von de der den del della di da du la le ter zu bin ibn al el mac mc san dos das".split())
+# Given and family names that are frequent in many countries and are no ordinary words of the languages read.
+GIVEN_NAMES = frozenset(
+    "adam ahmed aisha alejandro alessandro alice amina ana anders andrea andrew anh anita anna antonio arjun astrid ayşe beatriz benjamin boris brigitte camille carlos carmen caroline catherine charles charlotte chen chiara christopher claire daniel david deepak diego dmitri edward elena elizabeth emily emma erik eva fatima felix fernando francesca francisco françois fumiko gabriel george giovanni giulia greta hans haruto hassan helen henrik hiroshi hugo ibrahim igor ingrid irina isabella ivan jakub james jan jennifer jessica johan john jonas joseph juan julia jürgen kaito karen karl katarzyna kavita kenji kevin kwame lars laura lena li linda luca lucia luis magdalena mahmoud manuel marco margaret maria marie marta martin mary mateusz matthew mehmet mei michael miguel mohammed monika natalia nguyen nicolas nikolai noah olga oliver olivia omar oscar pablo patricia paul paulo pedro peter philip pierre piotr priya rachel rahul rajesh rebecca ricardo richard robert rosa ryan samuel sanjay sara sarah sebastian sergei simon sofia stefan stephen sunita susan svetlana tatiana teresa thomas tomasz valentina viktor vladimir wei william xavier yasmin yuki yusuf zhang".split()
+)
+FAMILY_NAMES = frozenset(
+    "adeyemi ahmed ali almeida andersen anderson andersson anh bailey bauer becker bernard bianchi campbell carvalho castillo castro chen chowdhury clarke colombo costa davies davis diaz diallo dubois duarte eriksson evans fernandes fernandez ferrari ferreira fischer fontaine fournier gallagher garcia gomez gonzalez gonçalves gupta gutierrez hansen hernandez hoffmann horvat hughes hussain ibrahim ito ivanov iyer jackson jansen jensen johansson johnson jones kaminski kapoor khan kim kobayashi kovacs kowalczyk kowalski kumar lambert larsen laurent lefebvre lehmann li lin lindberg lopez martin martinez mbeki medina mehta mendoza meyer miller mitchell mohamed moreau moreno morales mukherjee müller murphy nakamura nguyen nielsen novak nowak okafor okonkwo oliveira olsen ortiz owusu papadopoulos patel pereira perez petersen peterson petrov phillips popescu popov raghunathan ramirez ramos rao reddy reyes ribeiro richter rinaldi rivera roberts robinson rodrigues rodriguez romano rossi ruiz russo sanchez santos sato schmidt schneider schröder schulz sharma shevchenko silva singh smirnov sokolov sousa stewart suzuki svensson takahashi tanaka taylor thompson torres tran turner varga vasquez virtanen wagner walker wang watanabe weber wei williams wilson wójcik wright yamamoto yilmaz zhang zhou zimmermann".split()
+)
 
 # --- units
 
@@ -75,7 +92,7 @@ _NO_TOWN = r"(?!(?i:ssn|social|passport|tax|national|identity|id|driv\w+|licen[c
 _TOWN = rf"(?:,\s+{_NO_TOWN}{_PROPER}(?:[ \-]{_PROPER})?(?:,?\s+(?:[A-Z]{{2}}\s+)?\d{{4,6}}(?:-\d{{4}})?)?|,\s+\d{{4,6}}\s+{_PROPER}(?:[ \-]{_PROPER})?)"
 _UNIT = r"(?:(?:Flat|Apt|Apartment|Unit|Suite|Ste|Room|Floor)\.?\s+\d{1,5}[A-Z]?\s*(?:[,/]\s*|\s+))"
 _ADDRESS = (
-    rf"{_UNIT}?\d{{1,5}}[A-Z]?\s+(?:{_PROPER}\s+){{1,3}}(?i:{_STREET})\b\.?{_TOWN}?"
+    rf"{_UNIT}?\d{{1,5}}[A-Z]?\s+(?:{_PROPER}\s+){{1,3}}(?i:{_STREET})\b\.?(?:\s+(?:NW|NE|SW|SE|N|S|E|W)\b\.?)?{_TOWN}?"
     rf"|(?i:p\.?\s?o\.?\s*box|post office box|postfach|apartado|boîte postale)\s+\d{{1,7}}{_TOWN}?"
     rf"|\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?i:rue|avenue|boulevard|place|chemin|allée|impasse|quai)\s+(?:(?i:de la|de l'|des|du|de|d')\s*)?{_PROPER}(?:[ \-]{_PROPER})?{_TOWN}?"
     rf"|(?i:calle|avenida|avda|plaza|paseo|camino|via|viale|piazza)\.?\s+(?:(?i:de la|del|de los|de)\s+)?{_PROPER}(?:\s+{_PROPER})?,?\s+\d{{1,4}}{_TOWN}?"
@@ -97,11 +114,15 @@ _FORMS = (
     ("licence", r"(?<![\w\-])[A-Z]{1,2}\d{2,4}-\d{3,5}-\d{3,5}(?![\w\-])"),
     ("national", r"(?<![\w\-])\d{6}[-+]\d{4}(?![\w\-])"),
     ("tax", r"(?<![\w\-])\d{2} \d{3} \d{3} \d{3}(?![\w\-])"),
+    ("nino", r"(?<![\w\-])[A-Z]{2} \d{2} \d{2} \d{2} [A-D](?![\w\-])"),
+    ("dotted", r"(?<![\w\-.])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w\-])"),
+    ("fours", r"(?<![\w\-.+] )(?<![\w\-.+])\d{4} \d{4} \d{4}(?! ?\d)(?![\w\-])"),
     ("phone_plus", rf"(?<![\w])(?:\+|00[1-9])\d{{0,3}}(?:[ .\-]?(?:\(\d{{1,5}}\)|\d{{1,5}})){{2,6}}(?![\w]){_EXT}"),
     ("phone_area", rf"(?<![\w\-])\(\d{{2,5}}\)[ \-.]?\d{{3,4}}[ \-.]?\d{{3,4}}(?![\w]){_EXT}"),
     ("phone_lead", rf"(?<![\w\-.])00\d[ .\-]\d{{2,4}}[ .\-]\d{{3,4}}[ .\-]\d{{3,4}}(?![\w]){_EXT}"),
     ("phone_group", rf"(?<![\w\-.])(?:1[ .\-])?\d{{3}}([ .\-])\d{{3}}\g<-1>\d{{4}}(?![\w\-]){_EXT}"),
-    ("phone_local", rf"(?<![\w\-.])0\d{{2,4}}[ \-/]\d{{3,4}}(?:[ \-]\d{{3,4}})?(?![\w\-]){_EXT}"),
+    ("phone_local", rf"(?<![\w\-.])(?:0\d{{4}} \d{{6}}|0\d{{2,4}}[ \-/]\d{{3,4}}(?:[ \-]\d{{3,4}})?)(?![\w\-]){_EXT}"),
+    ("threes", r"(?<![\w\-.])\d{3} \d{3} \d{3}(?! ?\d)(?![\w\-])"),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])"),
     ("alnum_id", r"(?<![\w\-])(?=[A-Z0-9]*[A-Z])(?=(?:[A-Z]*\d){4})[A-Z0-9]{7,12}(?![\w\-])"),
     ("digits10", rf"(?<![\w\-.])\d{{10}}(?![\w\-]){_EXT}"),
@@ -114,9 +135,11 @@ _FORMS = (
 )
 #: Forms that may be personal, with the label each may take.
 MAY_BE = {
-    "email": EMAIL, "address": ADDRESS, "ssn": ID, "ssn_blank": ID, "licence": ID, "national": ID, "tax": ID, "alnum_id": ID, "digits9": ID, "digits8": ID,
+    "email": EMAIL, "address": ADDRESS, "ssn": ID, "ssn_blank": ID, "licence": ID, "national": ID, "tax": ID, "nino": ID, "dotted": ID, "fours": ID, "threes": ID, "alnum_id": ID, "digits9": ID, "digits8": ID,
     "phone_plus": PHONE, "phone_area": PHONE, "phone_lead": PHONE, "phone_group": PHONE, "phone_local": PHONE, "digits10": PHONE,
 }
+#: Forms that are hardly ever anything else: no sentence with one of them is quiet.
+SURE = frozenset(("email", "address", "ssn", "licence", "nino", "phone_plus", "phone_area", "phone_lead", "phone_group", "phone_local"))
 
 
 @lru_cache(maxsize=1)
@@ -160,12 +183,13 @@ def _pieces(word: str) -> list[str]:
 
 @dataclass
 class Names:
-    """Given names, family names, and a naive-Bayes likeness to family names by pieces of words."""
+    """Given names, family names, a naive-Bayes likeness to family names by pieces of words, words common in lower case, and all frequent words."""
 
     given: frozenset[str]
     family: frozenset[str]
     weights: dict[str, float]
     common: frozenset[str]
+    frequent: frozenset[str] = frozenset()
     cache: dict[str, float] = field(default_factory=dict)
 
     def likeness(self, word: str) -> float:
@@ -180,26 +204,36 @@ class Names:
         return -9.0 if len(p) < 4 or word in self.common else sum(self.weights.get(x, 0.0) for x in _pieces(p)) / (len(p) + 1)
 
 
-def learn_names(roster: list[tuple[str | None, str | None]], background: list[str]) -> Names:
+def count_words(texts: list[str]) -> dict[str, tuple[int, int]]:
+    """Of each word of four letters or more: how many texts hold it, and how many hold it in lower case."""
+    seen: dict[str, list[int]] = {}
+    for t in texts:
+        for w in set(re.findall(r"[^\W\d_]{4,}", t)):
+            n = seen.setdefault(w.lower(), [0, 0])
+            n[0] += 1
+            n[1] += w.islower()
+    return {w: (a, b) for w, (a, b) in seen.items()}
+
+
+def learn_names(roster: list[tuple[str | None, str | None]], counts: dict[str, tuple[int, int]], least: int = FREQUENT_ROWS) -> Names:
+    """``counts``: those of ``count_words``, over all texts; what fewer than ``least`` texts hold says nothing."""
     given = {w.lower() for g, _ in roster for w in re.findall(r"[^\W\d_]+", g or "") if len(w) > 1}
-    given |= {_plain(w) for w in given}
     family = {w for _, f in roster for w in re.findall(r"[^\W\d_']+", (f or "").lower()) if len(w) > 2 and w not in PARTICLES}
+    rostered = {_plain(w) for w in family} or {_plain(w) for w in FAMILY_NAMES}
+    common = {w for w, (_, low) in counts.items() if low >= least and w not in family and w not in given}
+    given |= GIVEN_NAMES - common
+    family |= FAMILY_NAMES - common
+    given |= {_plain(w) for w in given}
     family |= {_plain(w) for w in family}
-    # words, a few of them as capital names of things
-    words = {w for t in background for w in re.findall(r"[^\W\d_]{4,}", t.lower())} - family
+    words = set(counts) - family
     pos, neg = defaultdict(int), defaultdict(int)
-    for target, source in ((pos, {_plain(w) for w in family}), (neg, {_plain(w) for w in words})):
+    for target, source in ((pos, rostered), (neg, {_plain(w) for w in words})):
         for w in source:
             for x in set(_pieces(w)):
                 target[x] += 1
-    n_pos, n_neg = len(family) + 1, len(words) + 1
+    n_pos, n_neg = len(rostered) + 1, len(words) + 1
     weights = {x: float(np.log((pos[x] + 0.3) / n_pos) - np.log((neg[x] + 0.3) / n_neg)) for x in {*pos, *neg}}
-    seen = defaultdict(int)
-    for t in background:
-        for w in set(re.findall(r"[^\W\d_]{4,}", t)):
-            seen[w] += 1
-    common = frozenset(w for w, k in seen.items() if k >= 3 and w.islower() and w not in family and w not in given)
-    return Names(frozenset(given), frozenset(family), weights, common)
+    return Names(frozenset(given), frozenset(family), weights, frozenset(common), frozenset(w for w, (n, _) in counts.items() if n >= least))
 
 
 # --- features
@@ -242,7 +276,11 @@ def features(units: list[Unit], i: int, names: Names) -> list[str]:
     g = core in names.given or _plain(core) in names.given
     if g:
         f += ["given", "given" + s]
-    k = any(p in names.family for p in (core, *core.replace("'", "-").split("-")))
+    k = _is_family(core, names)
+    if _introduced(units, i, names):
+        f.append("introduced")
+    if core in names.frequent:
+        f.append("frequent" + s)
     like = names.likeness(core)
     b = "hi" if like > 0.9 else "mid" if like > 0.35 else "lo" if like > 0 else "no"
     f += ["like:" + b, f"like:{b}{s}"]
@@ -263,7 +301,29 @@ def features(units: list[Unit], i: int, names: Names) -> list[str]:
     return f
 
 
-def _may(u: Unit, names: Names) -> tuple[int, ...]:
+def _is_family(low: str, names: Names) -> bool:
+    return any(p in names.family for p in (low, *low.replace("'", "-").split("-")))
+
+
+def _introduced(units: list[Unit], i: int, names: Names) -> bool:
+    """Whether a capital word that is like no known name stands where a family name does: behind a title or an initial, or, if it
+    is no frequent word, next to a known given name."""
+    u = units[i]
+    low = u.low.removesuffix("'s")
+    if u.form != "word" or not u.text[:1].isupper() or len(low) < 2 or low.endswith(".") or low in names.common or low in names.given:
+        return False
+    prev = units[i - 1] if i and u.start - units[i - 1].end <= 2 else None
+    if prev is None or prev.form != "word":
+        return False
+    p = prev.low
+    if p.rstrip(".") in TITLES and p.rstrip(".") not in PARTICLES and prev.text[:1].isupper() and p != "don":
+        return True
+    if len(p.rstrip(".")) == 1 and p.endswith(".") and prev.text[:1].isupper():
+        return True
+    return low not in names.frequent and prev.text[:1].isupper() and (p in names.given or p in PARTICLES)
+
+
+def _may(u: Unit, names: Names, introduced: bool = False) -> tuple[int, ...]:
     """The labels that a unit may take."""
     if u.form in MAY_BE:
         return (O, MAY_BE[u.form])
@@ -280,7 +340,7 @@ def _may(u: Unit, names: Names) -> tuple[int, ...]:
     elif not low.endswith("."):
         if low in names.given or _plain(low) in names.given or u.text[:1].isupper():
             out.append(GIVEN)
-        if names.likeness(low) > 0 or any(p in names.family for p in (low, *low.replace("'", "-").split("-"))):
+        if introduced or names.likeness(low) > 0 or _is_family(low, names):
             out.append(FAMILY)
     return tuple(out)
 
@@ -294,7 +354,7 @@ def _anchors(units: list[Unit], names: Names) -> list[bool]:
             keep[i] = True
         elif u.form == "word":
             low = u.low.removesuffix("'s")
-            if names.likeness(low) > 0.2 or any(p in names.family for p in (low, *low.replace("'", "-").split("-"))):
+            if names.likeness(low) > 0.2 or _is_family(low, names) or _introduced(units, i, names):
                 for j in range(max(0, i - 4), min(n, i + 5)):
                     keep[j] = True
     return keep
@@ -309,10 +369,11 @@ class Model:
     unary: dict[str, np.ndarray]
     pair: np.ndarray
     skip: float
+    similar: float = 0.0
 
     def scores(self, units: list[Unit], i: int) -> np.ndarray:
         s = np.full(len(LABELS), -1e9)
-        may = list(_may(units[i], self.names))
+        may = list(_may(units[i], self.names, _introduced(units, i, self.names)))
         total = np.zeros(len(LABELS))
         if len(may) > 1:
             for x in features(units, i, self.names):
@@ -322,59 +383,96 @@ class Model:
         return s
 
 
-def _joined(a: Unit, b: Unit) -> bool:
-    return b.start - a.end <= 3
+def skip_edges(units: list[Unit], nodes: list[int], names: Names) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pairs of distant ``nodes`` (by their place) that are written alike, and of such that are written nearly so: names of six
+    letters or more one letter apart, parts of a double name, numbers with the same last seven digits."""
+    equal, near = [], []
+    last: dict[str, int] = {}
+    loose: dict[str, int] = {}
+    for a, i in enumerate(nodes):
+        u = units[i]
+        if u.form == "word":
+            if len(u.text) <= 3 or not (names.likeness(u.low) > 0.2 or u.low in names.given or _is_family(u.low.removesuffix("'s"), names)):
+                continue
+            key = _plain(u.low.removesuffix("'s"))
+            kin = [key[:j] + key[j + 1 :] for j in range(len(key))] if len(key) >= 6 else []
+            kin += [key, *(p for p in key.split("-") if len(p) > 3)]
+        elif u.form in MAY_BE and u.form != "address":
+            key = re.sub(r"\D", "", u.text) or u.low
+            kin = ["#" + key[-7:]] if key.isdigit() and len(key) >= 7 else []
+        else:
+            continue
+        if key in last:
+            if nodes[last[key]] != i - 1:
+                equal.append((last[key], a))
+        else:
+            known = {loose[x] for x in kin if x in loose and nodes[loose[x]] < i - 1}
+            near += [(b, a) for b in sorted(known)]
+        last[key] = a
+        for x in kin:
+            loose[x] = a
+    return equal, near
+
+
+def _agreement(weight: float) -> np.ndarray:
+    out = np.eye(len(LABELS)) * weight
+    out[O, O] = 0.0
+    return out
 
 
 def infer(model: Model, units: list[Unit], rounds: int = ROUNDS) -> list[int]:
-    """Labels by loopy max-product message passing along neighbours and skip edges."""
+    """Labels by loopy max-product message passing along neighbours and skip edges; stretches without skip edges exactly."""
     keep = _anchors(units, model.names)
     nodes = [i for i, k in enumerate(keep) if k]
     labels = [O] * len(units)
     if not nodes:
         return labels
-    place = {i: k for k, i in enumerate(nodes)}
     theta = np.array([model.scores(units, i) for i in nodes])
-    edges: list[tuple[int, int, np.ndarray]] = [(place[i], place[i + 1], model.pair) for i in nodes if i + 1 in place]
-    agree = np.eye(len(LABELS)) * model.skip
-    agree[O, O] = 0.0
-    last: dict[str, int] = {}
-    skips = 0
-    for i in nodes:
-        u = units[i]
-        if (u.form == "word" and len(u.text) > 3 and (model.names.likeness(u.low) > 0.2 or u.low in model.names.given)) or u.form in MAY_BE and u.form not in ("address",):
-            key = _plain(u.low.removesuffix("'s")) if u.form == "word" else re.sub(r"\D", "", u.text) or u.low
-            if key in last and last[key] != place[i] - 1:
-                edges.append((last[key], place[i], agree))
-                skips += 1
-            last[key] = place[i]
-    # forward and backward sweeps; without skip edges one of each is exact
-    msg = {}
-    around: list[list[tuple[int, np.ndarray, tuple, tuple]]] = [[] for _ in nodes]
+    equal, near = skip_edges(units, nodes, model.names)
+    runs = [[0]]
+    for a in range(1, len(nodes)):
+        if nodes[a] == nodes[a - 1] + 1:
+            runs[-1].append(a)
+        else:
+            runs.append([a])
+    tied = {x for pair in equal + near for x in pair}
+    loopy: list[int] = []
+    for run in runs:
+        if tied.isdisjoint(run):
+            for a, k in zip(run, _viterbi(theta[run], model.pair)):
+                labels[nodes[a]] = k
+        else:
+            loopy += run
+    if loopy:
+        edges = [(a, a + 1, model.pair) for a in loopy if a + 1 < len(nodes) and nodes[a + 1] == nodes[a] + 1]
+        edges += [(a, b, _agreement(model.skip)) for a, b in equal] + [(a, b, _agreement(model.similar)) for a, b in near]
+        for a, k in _pass_messages(theta, loopy, edges, rounds).items():
+            labels[nodes[a]] = k
+    return labels
+
+
+def _pass_messages(theta: np.ndarray, nodes: list[int], edges: list[tuple[int, int, np.ndarray]], rounds: int) -> dict[int, int]:
+    """Loopy max-product: damped sweeps forth and back until no message moves."""
+    n = theta.shape[1]
+    msg = np.zeros((len(edges), 2, n))  # to the second end, to the first end
+    around: dict[int, list[tuple[int, int, np.ndarray]]] = {a: [] for a in nodes}
     for e, (a, b, m) in enumerate(edges):
-        msg[e, 0] = np.zeros(len(LABELS))  # to b
-        msg[e, 1] = np.zeros(len(LABELS))  # to a
-        around[a].append((b, m, (e, 1), (e, 0)))
-        around[b].append((a, m.T, (e, 0), (e, 1)))
-    for _ in range(rounds if skips else 1):
+        around[a].append((e, 1, m))
+        around[b].append((e, 0, m.T))
+    for _ in range(rounds):
         moved = 0.0
-        for order in (range(len(nodes)), range(len(nodes) - 1, -1, -1)):
+        for order in (nodes, nodes[::-1]):
             for a in order:
-                belief = theta[a] + sum((msg[inward] for _, _, inward, _ in around[a]), np.zeros(len(LABELS)))
-                for _, m, inward, outward in around[a]:
-                    new = np.max((belief - msg[inward])[:, None] + m, axis=0)
-                    new -= new.max()
-                    new = np.maximum(new, -1e6)
-                    if skips:
-                        new = 0.7 * new + 0.3 * msg[outward]
-                    moved = max(moved, float(np.abs(new - msg[outward]).max()))
-                    msg[outward] = new
+                belief = theta[a] + sum(msg[e, side] for e, side, _ in around[a])
+                for e, side, m in around[a]:
+                    new = np.max((belief - msg[e, side])[:, None] + m, axis=0)
+                    new = np.maximum(new - new.max(), -1e6)
+                    new = 0.7 * new + 0.3 * msg[e, 1 - side]
+                    moved = max(moved, float(np.abs(new - msg[e, 1 - side]).max()))
+                    msg[e, 1 - side] = new
         if moved < 1e-3:
             break
-    for a, i in enumerate(nodes):
-        belief = theta[a] + sum((msg[inward] for _, _, inward, _ in around[a]), np.zeros(len(LABELS)))
-        labels[i] = int(np.argmax(belief))
-    return labels
+    return {a: int(np.argmax(theta[a] + sum(msg[e, side] for e, side, _ in around[a]))) for a in nodes}
 
 
 def spans_of(units: list[Unit], labels: list[int]) -> list[tuple[str, int, int]]:
@@ -441,29 +539,35 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 # --- fitting
 
-# Made-up contexts: {p} person, {e} mail, {t} phone, {i} identity number with its name, {a} address.
+# Made-up contexts: {p} person, {e} mail, {t} phone, {i} identity number with its name, {a} address, {g} a given name that is none,
+# {n}, {N} something counted, {m} a thing with a name in capitals, {w} an invented word in lower case, {d..} as many digits.
 _CONTEXTS = (
-    "Contact: {p}, {t}.", "Contact {p} if it fails.", "Please escalate to {p} when nobody answers.", "The owner is {p}, mailbox {e}.", "Owner: {p} ({e})", "Write to {e} when done.",
-    "Send the export to {e} and copy {e}.", "The requester left {i} and {e} in the comment.", "The technician {p} signed in with {i}.", "The handover from {p} to {p} went fine.",
-    "A badge for {p} was posted to {a} last week.", "The spare keys are kept at {a}, ask {p}.", "Courier drop-off: {a}. Ring {t} on arrival.", "A form listed {p}, {a}, {i}.",
-    "The access form shows {i} in plain view.", "{p} confirmed the numbers over the phone ({t}).", "Call {t} before the drain.", "What is the pool size of the cache (from {p}, {e})?", "Show the limit; reach {p} at {t}",
-    "How do we drain it - call me on {t}?", "What is the quota, asking for {p}", "Which limit is set, {p} wants to know?", "the draft was withheld; asker gave {t}", "the text held {t} next to {p}",
-    "the passage names {p}", "it would expose data; contact {p} <{e}> withheld", "the shipping line {a} would be shown", "the ranking gave nothing; {i} found in the cited chunk", "Tell me the path; my {i} is on file",
-    "Please purge it and mail it to {e}", "Please send it and ship the token to {a}?", "the draft quoted {e}", "{p} asked for it.", "We met {p} and {p} today.", "Thanks to {p} for the review.", "As {p} said, it holds.",
-    "My number is {t}", "Phone: {t}", "Tel. {t}", "{p}, {a}", "Mail {e} or phone {t}.", "{p}", "{t}", "{i}", "Lives at {a}.", "Reviewed by {p} on Monday.", "with {p} on call", "ask {p}.", "Ring {t}.", "signed, {p}",
-    "Passport holder {p} moved.", "The {i} was checked.",
+    "The lease was signed by {p} yesterday.", "My landlord, {p}, lives at {a}.", "Dinner with {p} and {p} at eight?", "Send the parcel to {p}, {a}.", "You can reach our dentist at {t}.", "Fax it to {t} before noon.",
+    "{p} will host the workshop.", "Dear {p}, thank you for the flowers.", "Kind regards, {p}", "The invoice goes to {e}, not to me.", "Reply to {e} or ring {t}.", "Her mobile is {t}.", "His new e-mail is {e}", "Text me at {t}",
+    "For tickets dial {t}.", "Home address: {a}", "They moved to {a} in spring.", "The plumber ({p}) came late.", "The visa form asks for the {i}.", "His {i} had a typo.", "I lost a wallet with my {i} in it.", "Applicant: {p}, {i}",
+    "{p} / {t} / {e}", "Guardian: {p}", "Emergency contact {p}, {t}", "According to {p} the museum is closed.", "We elected {p} as treasurer.", "The bill of {p} is unpaid.", "This recipe is by {p}.", "Have you met {p} from accounting?",
+    "The keynote is given by {p} on Friday.", "Interview with {p}, the new coach", "Forwarded by {p} to {e}", "Is {p} back from holiday?", "Ask {p} for the key.", "Tell {p} that the car is ready", "Give {p} a call on {t}", "Call {t}", "or {t}", "on {t}?", "Tel: {t}", "Phone {t}",
+    "{t} is the number of the clinic.", "Deliver to {a}", "at {a}.", "{a}", "The shop at {a} opens at nine.", "{p} <{e}>", "{e}", "cc {e}", "mailto {e}", "from {e},", "{p}", "{p}, {t}", "{p} ({e})", "my {i}", "{i}.", "with {i},", "Please check {i} and {i}.",
+    "{p} wrote: see you soon", "by {p}", "with {p}.", "to {p}, who agreed", "from {p}?", "via {p}", "owner {p}", "contact {p}", "signed {p}", "names {p}", "for {p},", "next to {p}", "The nurse {p} took the call.", "Nurse and patient: {p}; {p}", "Witness: {p}, born in {d4}.",
+    "Mr and Mrs said {p} had left.", "The register listed {p}, {a}, {i}.", "listed {p}, {a}, {i}", "it lists {p}, {a}", "The card held {t} beside {p}.", "{t} next to {p}", "it held {t}", "contact {p} <{e}>", "reached {p} at {t}", "My {i} is expired.", "Her {i} is wrong, isn't it?", "the {i} is valid until May", "{t} is busy.", "{t} is my number", "{i} was refused", "{a} is far away.", "{e} is full.", "The note held {t}.", "the page lists {t}", "The message contained {t} and {i}.", "She left {t} on the machine", "He gave {t} as a contact.", "reach {p} at {t}", "reach {t}", "Reach us on {t} or {t}.", "Reach {p} on {t}.", "over the phone: {t}", "by phone ({t})",
+    "the phone ({t})", "The keys are with {p} at {a}.", "We stay at {a}, bring {p}.", "Pick it up at {a}, then ring {p}.", "kept in {a}", "Stored: {a}, see {p}", "{p} of {a}", "Return the books to {a} by May.", "near {a}, behind the church", "it holds {t}", "the letter held {i}", "holding {t} with {p}", "and {p} too", "{p} asked twice.", "{p} and {p} are away.", "A letter for {p} came back.", "what {p} wanted was a refund", "he gave {t} and {i}", "shown: {a}; {t}", "on file: {i}", "text: {t}, {e}",
 )
 _PLAIN_CONTEXTS = (
-    "Build {d3}-{d2}-{d3} is the last good one.", "Commit {d9} is too short to be a hash.", "Offset {d9} was committed twice.", "Counter {d8} wrapped around.", "Retry {d1}-{d3}-{d2} was skipped.", "The port range {d4}-{d4} is reserved.",
-    "Node {d3}.0.2.{d2} answered within 9 ms.", "{g} period for the rotation is {d2} days.", "{g} resolved only after the graph is flat.", "{g} from {d2} to {d2} percent overnight.", "{g} restart twice if the probe fails.",
-    "It moved to {g} Patrol week {d2}.", "The Amber Ledger review moved to {g} Patrol.", "The @here mention woke the rotation.", "The image is registry.example/ledger@sha256:{d8}.", "Lane {d1} of the train is closed.", "Street-level cache tier {d3} is retired.",
-    "Passport is the code name of the project.", "Ticket {d9} is closed.", "Sequence {d10} was replayed.", "Timestamp {d10} is in range.", "Epoch {d10} began.", "Order {d8} shipped {d2} units.", "Version {d1}.{d2}.{d1} runs on {d4} nodes.", "Batch {d3}-{d2} took {d3} ms.",
-    "Key A{d8} rotates.", "Module kirbaba logged {d2} retries.", "The flag norceba was flipped back.", "Dear all, the window opens at {d2}:{d2}.", "Dr Watson is the name of the tool.", "Case {d3}-{d2}-{d3} is open.", "Serial {d4}-{d4}-{d4} is on the rack.",
-    "{g} is on the list.", "Ask {g} about it.", "{g}, what is the limit?", "Hash {d10} and hash {d9} differ.", "Page {d4}-{d4} of the log.", "Row {d8} to row {d8}.", "Account {d8}-{d2} has a quota.", "Job {d6}-{d4} failed.",
+    "{N} {d9} is closed.", "{N} {d10} was paid.", "{N} {d8} arrived with {d2} boxes.", "{n} {d10}", "{n} {d9} and {n} {d10} differ.", "{N} {d8} to {d8}.", "{N} {d3}-{d2}-{d3} failed.", "{N} {d4}-{d4} is free.", "see {n} {d9} for more", "the {n} {d10} began", "at {n} {d9}",
+    "{N} {d4} {d4} {d4} is full.", "{N} {d3} {d3} {d3} is open.", "The {n} stands at {d10}.", "The {n} grew from {d8} to {d9}.", "{N} A{d8} is blue.", "{N} {d1}.{d2}.{d1} is out.", "We sold {d3} of {d4}.", "The count is {d9}", "the total of {d10} bytes", "{d10} rows were read", "{d9} views in a week",
+    "It took {d3} ms on {d4} machines.", "Address {d3}.0.{d2}.{d1} answered.", "{g} period ends in {d2} days.", "{g} my words.", "{g} by {d2} percent", "{g} twice if it rains.", "{g} is a flower.", "{g}, what is the time?", "Ask {g} about it.", "{g} only after lunch.", "We toured {m} last {m}.", "The {m} report is late.",
+    "{m} opens at {d2}:{d2}.", "I read {m} twice.", "The band is named {m}.", "{m} won the cup.", "Meet at {m}.", "the {m} team moved to {m}", "{m} is a code name.", "{N} {w} was slow.", "the {n} {w} runs", "{N} {w} gave up {d2} times.", "{w} is on.", "switch {w} off", "the {w} {n}", "{w} {w} is a word", "in {w}.", "We call it {w}.", "Passport control is slow.", "The phone is new.", "Call it a day.", "A street lamp broke.", "Mail comes at ten.", "Identity is a hard question.",
+    "Dr Pepper is a drink.", "Dear all, lunch is at {d2}:{d2}.", "Mr and Mrs of the year", "Miss a turn.", "A. and B. are options.", "Plan B. Start again.", "Vitamin C. Take two.", "How Much Does The {m} Cost In The North?", "Show The Price Of The Small Box", "What Is The Limit Of The {N}?", "Is It Safe To Move The {N}?",
 )
+_COUNTED = tuple(
+    "invoice order ticket case build commit offset counter job batch row account session request version port serial shipment receipt page chapter timestamp epoch error claim checksum hash key flag module lane sequence retry run record entry item part model room gate flight bus train meter lot block index cluster node shard event message reference tracking booking article batch position revision transaction balance sum total size count score level"
+    .split()
+)
+_MADE_THINGS = ("Silver Lake", "Northern Line", "Golden Gate", "Spring Fair", "Old Harbour", "Red River", "Monday Club", "Winter Games", "Blue Note", "Grand Hotel", "Central Park", "Green Week", "Town Hall", "High Season", "Black Friday", "Quiet Hour", "Summer School", "Open Day", "Iron Bridge", "Night Market")
+_SYLLABLES = ("ra", "gu", "na", "than", "ko", "wal", "czyk", "o", "kon", "kwo", "ni", "shi", "mu", "ra", "ta", "na", "ka", "ber", "lin", "sen", "ved", "ska", "vic", "mar", "ti", "nez", "dra", "gos", "el", "ba", "ri", "phan", "thu", "jor", "gen", "bak", "her", "zhou", "aki", "fe", "mi", "yo", "sof", "lund", "dahl", "ström", "ferr", "ucci", "esc", "ut", "iou")
 _TOWNS = ("Norwood", "Eastbrook", "Milldale", "Ravensburg", "Luzerne", "Highmoor", "Castlebar", "Oakfield")
 _ROADS = ("Maple", "Station", "Harbour", "Church", "Old Mill", "Victoria", "Birchwood", "Kingsgate")
-_ID_NAMES = ("SSN", "social security no.", "social security number", "passport", "passport no.", "passport number", "tax ID", "tax number", "national ID", "identity card", "driving licence", "driver's license", "licence no.", "Personalausweis", "ID card no.", "NINO", "DNI")
+_ID_NAMES = ("SSN", "social security no.", "social security number", "passport", "passport no.", "passport number", "tax ID", "tax number", "national ID", "identity card", "driving licence", "driver's license", "licence no.", "Personalausweis", "ID card no.", "NINO", "DNI", "CPF", "Aadhaar", "SIN", "Steuernummer", "personnummer")
 
 
 def _fill_digits(rng: random.Random, pattern: str) -> str:
@@ -472,12 +576,13 @@ def _fill_digits(rng: random.Random, pattern: str) -> str:
 
 def _made_person(rng: random.Random, given: list[str], family: list[str], stems: list[str], tails: list[str]) -> list[tuple[str, int]]:
     """Words of a person's name with their labels."""
-    f = rng.choice(family) if rng.random() < 0.5 else (rng.choice(stems) + rng.choice(tails)).capitalize()
+    r = rng.random()
+    f = rng.choice(family) if r < 0.45 else (rng.choice(stems) + rng.choice(tails)).capitalize() if r < 0.85 else "".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(2, 4))).capitalize()
     if rng.random() < 0.1:
         f += "-" + rng.choice(family)
     elif rng.random() < 0.08:
         f = "O'" + f
-    g = rng.choice(given)
+    g = rng.choice(given) if rng.random() < 0.75 else "".join(rng.choice(_SYLLABLES) for _ in range(2)).capitalize()
     style = rng.random()
     part = [(rng.choice(("van", "de", "von")), PARTICLE)] if rng.random() < 0.06 else []
     if style < 0.42:
@@ -503,7 +608,7 @@ def _made_person(rng: random.Random, given: list[str], family: list[str], stems:
 def made_sentence(rng: random.Random, given: list[str], family: list[str], stems: list[str], tails: list[str]) -> list[tuple[str, int | None]]:
     """A sentence as pieces with labels; None where the words are of no kind."""
     phones = ("+1 999 555 9999", "+1-999-555-9999", "(999) 999-9999", "999-999-9999", "999.999.9999", "9999999999", "+44 20 9999 9999", "020 9999 9999", "+61 2 9999 9999", "+49 30 99999 999", "001 999 999 9999", "+33 1 99 99 99 99", "999-999-9999 ext. 99", "999 999 9999")
-    ids = ("999-99-9999", "999 99 9999", "999999999", "A9999999", "AA999999", "99 999 999 999", "999999-9999", "A999-9999-9999", "A99A99999", "99999999")
+    ids = ("999-99-9999", "999 99 9999", "999999999", "A9999999", "AA999999", "99 999 999 999", "999999-9999", "A999-9999-9999", "A99A99999", "99999999", "AA 99 99 99 C", "999.999.999-99", "9999 9999 9999", "999 999 999")
     out: list[tuple[str, int | None]] = []
     plain = rng.random() < 0.35
     for bit in re.split(r"(\{\w+\})", rng.choice(_PLAIN_CONTEXTS if plain else _CONTEXTS)):
@@ -526,6 +631,14 @@ def made_sentence(rng: random.Random, given: list[str], family: list[str], stems
             out.append((kind, ADDRESS))
         elif bit == "{g}":
             out.append((rng.choice(given), None))
+        elif bit == "{n}":
+            out.append((rng.choice(_COUNTED), None))
+        elif bit == "{N}":
+            out.append((rng.choice(_COUNTED).capitalize(), None))
+        elif bit == "{w}":
+            out.append((((rng.choice(stems) + rng.choice(tails)).lower() if rng.random() < 0.4 else "".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(2, 5)))), None))
+        elif bit == "{m}":
+            out.append((rng.choice(_MADE_THINGS), None))
         elif bit.startswith("{d"):
             out.append(("".join(rng.choice("0123456789") for _ in range(int(bit[2:-1]))), None))
         elif bit:
@@ -563,30 +676,99 @@ def _viterbi(theta: np.ndarray, pair: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def fit(roster: list[tuple[str | None, str | None]], background: list[str], sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """The model from names of the roster and a sample of texts; the same for the same input, in whatever order it comes."""
+def _made_text(rng: random.Random, *names: list[str]) -> list[tuple[str, int | None]]:
+    """Two to four sentences, some plain, in which somebody or a number comes again, by the last name, in capitals or without its cue."""
+    pieces: list[tuple[str, int | None]] = []
+    for _ in range(rng.randrange(2, 4)):
+        pieces += [*made_sentence(rng, *names), (" ", None)]
+    marked = [(s, k) for s, k in pieces if k in (FAMILY, PHONE, ID, EMAIL)]
+    if marked:
+        s, k = rng.choice(marked)
+        s = s.strip(" ,")
+        if k == FAMILY:
+            first = rng.choice(names[0])
+            at = rng.randrange(1, max(2, len(s) - 1))
+            forms = (s, s.upper(), s.lower(), s[:at] + s[at + 1 :] if len(s) > 6 and s.isalpha() else s)
+            again = [(rng.choice(("Later ", "Then ", "So ", "again, ", "(")), None), (first + " ", GIVEN), (rng.choice(forms), FAMILY), (rng.choice((" came.", " said so.", "", ")")), None)]
+        else:
+            bare = re.sub(r"\D", "", s) if k == PHONE and rng.random() < 0.5 else s
+            again = [(rng.choice(("It was ", "again ", "see ", "", "(")), None), (bare, k), (rng.choice((" as above.", "", " too.", ")")), None)]
+        pieces += again
+    return pieces
+
+
+def _prepare(units: list[Unit], gold: list[int], names: Names, rng: random.Random) -> tuple[list[list[str]], np.ndarray, list[int]]:
+    """Features, allowed labels and labels; some numbers and addresses lose their cues, so that their form alone is judged as well."""
+    feats, mask = [], np.full((len(units), len(LABELS)), -1e9)
+    for i, u in enumerate(units):
+        may = _may(u, names, _introduced(units, i, names))
+        feats.append(features(units, i, names) if len(may) > 1 else [])
+        if u.form in MAY_BE and rng.random() < 0.3:
+            feats[-1] = feats[-1][:2]
+        mask[i, list(may)] = 0.0
+        mask[i, gold[i]] = 0.0
+    return feats, mask, gold
+
+
+def _learn_skips(model: Model, texts: list[tuple[list[Unit], list[int]]], scale: float, epochs: int = 2) -> tuple[float, float]:
+    """The averaged perceptron for the two skip weights, the others fixed: each moves by how many of its edges agree in the right
+    labelling, less how many do in the one found."""
+    weights, sums, seen = np.zeros(2), np.zeros(2), 0
+    ready = []
+    for units, gold in texts:
+        nodes = [i for i, k in enumerate(_anchors(units, model.names)) if k]
+        edges = skip_edges(units, nodes, model.names)
+        if edges[0] or edges[1]:
+            ready.append((units, gold, nodes, edges))
+    for _ in range(epochs):
+        for units, gold, nodes, edges in ready:
+            got = infer(Model(model.names, model.unary, model.pair, *weights), units, rounds=15)
+            for k in (0, 1):
+                agree = lambda ls: sum(ls[nodes[a]] == ls[nodes[b]] != O for a, b in edges[k])  # noqa: B023, E731
+                weights[k] = max(0.0, weights[k] + scale * (agree(gold) - agree(got)))
+            sums += weights
+            seen += 1
+    skip, similar = (sums / seen if seen else weights).tolist()
+    return skip, similar
+
+
+def fit(
+    roster: list[tuple[str | None, str | None]], background: list[str], sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = SEED,
+    counts: dict[str, tuple[int, int]] | None = None, least: int = FREQUENT_ROWS, more_names: list[tuple[str | None, str | None]] = (),
+) -> Model:
+    """The model from names of the roster and sentences of the texts; the same for the same input, in whatever order it comes.
+
+    ``counts``: of the words of all texts (those of ``background`` if not given); ``more_names``: of the roster, to look up only."""
     rng = random.Random(seed)
     roster, background = sorted(set(roster), key=str), sorted(set(background))
-    names = learn_names(roster, background)
+    names = learn_names([*roster, *more_names], count_words(background) if counts is None else counts, least)
     given = sorted({g for g, _ in roster if g}) or ["Alex", "Maria"]
     family = sorted({f for _, f in roster if f and "-" not in f and "'" not in f}) or ["Miller", "Rossi"]
     cut_at = [(f[:i], f[i:]) for f in family for i in (len(f) // 2, len(f) // 2 + 1) if len(f) > 5] or [("Mil", "ler")]
     stems, tails = [a for a, _ in cut_at], [b.lower() for _, b in cut_at]
+    # beside those of the roster, names that it doesn't hold
+    given = given + sorted(g.capitalize() for g in GIVEN_NAMES)[:: max(1, len(GIVEN_NAMES) // (1 + len(given) // 2))]
+    family = family + sorted(f.capitalize() for f in FAMILY_NAMES)[:: max(1, len(FAMILY_NAMES) // (1 + len(family) // 2))]
     data = [_gold(made_sentence(rng, given, family, stems, tails))[1:] for _ in range(sentences)]
     quiet = []
     known = names.given | names.family
     for t in background:
         folded = fold(t)[0]
-        for s in re.split(r"(?<=[.!?])\s+|\n+", folded)[:12]:
+        for s in re.split(r"(?<=[.!?])\s+|\n+", folded):
             low = s.lower()
             if "@" in s or re.search(r"\d{4}|\(?\d{3}\W", s) or any(w in known or w in TITLES for w in re.findall(r"[^\W\d_]+", low)):
                 continue
             quiet.append(s)
     rng.shuffle(quiet)
-    for s in quiet[: sentences // 2]:
+    taken = 0
+    for s in quiet:
         units = units_of(s)
-        if units:
-            data.append((units, [O] * len(units)))
+        if not units or any(u.form in SURE for u in units):
+            continue
+        data.append((units, [O] * len(units)))
+        taken += 1
+        if taken >= QUIET * sentences // SENTENCES:
+            break
 
     n = len(LABELS)
     unary: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
@@ -594,15 +776,7 @@ def fit(roster: list[tuple[str | None, str | None]], background: list[str], sent
     sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
     pair_sum = np.zeros((n, n))
     step = 1
-    prepared = []
-    for units, gold in data:
-        feats = [features(units, i, names) if len(_may(u, names)) > 1 else [] for i, u in enumerate(units)]
-        mask = np.full((len(units), n), -1e9)
-        for i, u in enumerate(units):
-            mask[i, list(_may(u, names))] = 0.0
-            if mask[i, gold[i]] < 0:
-                mask[i, gold[i]] = 0.0
-        prepared.append((feats, mask, gold))
+    prepared = [_prepare(units, gold, names, rng) for units, gold in data]
     for _ in range(epochs):
         rng.shuffle(prepared)
         for feats, mask, gold in prepared:
@@ -631,17 +805,43 @@ def fit(roster: list[tuple[str | None, str | None]], background: list[str], sent
             step += 1
     mean = {x: w - sums[x] / step for x, w in unary.items()}
     scale = float(np.mean([np.abs(w).max() for w in mean.values()])) if mean else 1.0
-    return Model(names, mean, pair - pair_sum / step, skip=scale)
+    model = Model(names, mean, pair - pair_sum / step, 0.0)
+    repeats = [_gold(_made_text(rng, given, family, stems, tails))[1:] for _ in range(REPEATS)]
+    model.skip, model.similar = _learn_skips(model, repeats, scale / 10)
+    return model
+
+
+def frequent_words(texts: list[tuple[DataFrame, str, str]], rows: int = FREQUENT_ROWS, one_of: int = FREQUENT_OF) -> tuple[dict[str, tuple[int, int]], int]:
+    """(``count_words`` of all texts, of the words that enough of them hold; how many that is)."""
+    words = None
+    for df, _, column in texts:
+        part = df.where(F.col(column).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(r"(\p{L}{4,})"), 1))).alias("w"))
+        words = part if words is None else words.unionByName(part)
+    least = max(rows, -(-sum(df.where(F.col(column).isNotNull()).count() for df, _, column in texts) // one_of))
+    cased = words.groupBy("w").agg(F.count("*").alias("n"))
+    low = F.lower("w")
+    counts = cased.groupBy(low.alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("w") == low, F.col("n")).otherwise(0)).alias("low")).where(F.col("n") >= least)
+    return {r.word: (r.n, r.low) for r in counts.toLocalIterator()}, least
 
 
 def fit_on(texts: list[tuple[DataFrame, str, str]], roster: DataFrame, sample_rows: int = SAMPLE_ROWS, roster_rows: int = ROSTER_ROWS) -> Model:
-    """Fits on at most ``roster_rows`` names and ``sample_rows`` texts of each (table, key, column), those with the smallest hashes."""
-    people = roster.select("given_name", "family_name").distinct().orderBy(F.xxhash64("given_name", "family_name")).limit(roster_rows).collect()
+    """Fits on at most ``roster_rows`` names and ``SAMPLE_SENTENCES`` sentences of ``sample_rows`` texts of each (table, key, column), those
+    with the smallest hashes. All names of the roster and all frequent words are looked up."""
+    import pyarrow as pa
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [s for t in batch.column(0).to_pylist() for s in re.split(r"(?<=[.!?])\s+|\n+", t) if s.strip()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["s"])
+
+    people = [(r.given_name, r.family_name) for r in roster.select("given_name", "family_name").distinct().orderBy(F.xxhash64("given_name", "family_name"), "given_name", "family_name").toLocalIterator()]
     background = []
     for df, key, column in texts:
-        rows = df.where(F.length(column) > 0).select(F.substring(column, 1, 4000).alias("s"), F.xxhash64(key).alias("h")).orderBy("h", "s").limit(sample_rows).collect()
-        background += [r.s for r in rows]
-    return fit([(r.given_name, r.family_name) for r in people], background)
+        rows = df.where(F.length(column) > 0).select(F.col(column).alias("t"), F.xxhash64(key).alias("h")).orderBy("h", "t").limit(sample_rows).select("t")
+        drawn = rows.mapInArrow(sentences, "s string").distinct().orderBy(F.xxhash64("s"), "s").limit(SAMPLE_SENTENCES).collect()
+        background += [r.s for r in drawn]
+    counts, least = frequent_words(texts)
+    return fit(people[:roster_rows], background, counts=counts, least=least, more_names=people[roster_rows:])
 
 
 # --- operators

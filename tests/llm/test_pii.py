@@ -133,3 +133,44 @@ def test_fit_on_tables(spark):
     assert np.allclose(a.pair, b.pair) and a.unary.keys() == b.unary.keys()
     empty = pii.fit_on([(texts.limit(0), "k", "body")], roster.limit(0))
     assert kinds(empty, "Mail a@b.example now") == [("email", "a@b.example")]
+
+
+def held_out():
+    """(text, {(kind, start, end)}) of each sentence of the held-out file."""
+    import pathlib
+    import re
+
+    for line in pathlib.Path(__file__).with_name("pii_heldout.txt").read_text(encoding="utf-8").splitlines():
+        if not line.startswith("#"):
+            text, want = "", set()
+            for bit in re.split(r"(\[\[\w+\|.*?\]\])(?!\])", line):
+                if m := re.fullmatch(r"\[\[(\w+)\|(.*)\]\]", bit):
+                    want.add((m[1], len(text), len(text) + len(m[2])))
+                    bit = m[2]
+                text += bit
+            yield text, want
+
+
+def test_held_out_file(model):
+    """Sentences on other matters than those of the test tables, with names that no roster holds."""
+    right = wrong = missed = n = 0
+    for text, want in held_out():
+        got = set(pii.find_spans(model, text))
+        n += 1
+        right, wrong, missed = right + len(want & got), wrong + len(got - want), missed + len(want - got)
+    assert n >= 200
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9, (right, wrong, missed)
+
+
+def test_similar_words_are_tied(model):
+    """A name one letter off, and a number without its country code, meet in skip edges."""
+    units = pii.units_of("Elif Volkwick said no; the clerk wrote volkwik. Ring +1 912 555 0143, and 9125550143 later.")
+    equal, near = pii.skip_edges(units, list(range(len(units))), model.names)
+    text = lambda pairs: {(units[a].low, units[b].low) for a, b in pairs}
+    assert not equal and text(near) == {("volkwick", "volkwik"), ("+1 912 555 0143", "9125550143")}
+
+
+def test_frequent_words(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["Alpha beta beta", "alpha Beta", "ALPHA gamma", None, ""] * 2)], "k int, t string")
+    counts, least = pii.frequent_words([(texts, "k", "t")], rows=3)
+    assert least == 3 and counts == {"alpha": (6, 2), "beta": (4, 2)}
