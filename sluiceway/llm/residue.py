@@ -9,9 +9,13 @@ text: prose that reports, explains or quotes such things recurs so, whereas an e
 that recurs stands (nearly) alone and stays in the residual. Records whose lines free of
 evidence are the same count once, so copies of one residue page don't vouch for each other.
 
-Scale: the corpus is read twice, once for the evidence and once for the counts; only lines
-that are evidence somewhere are counted. Their hashes are shuffled, folded within each task
-first, and keyed by the text as well, so a host with a third of all rows is no hot key.
+What is evidence: an unfilled placeholder by the syntax of the template that left it; error
+messages, filler and script notices by a classifier of lines (``residue_model``).
+
+Scale: the texts are read once and only lines with evidence leave the scan; recurrence is
+counted over these, since a line that is evidence here is so elsewhere. Hashes are shuffled,
+folded within each task first, and keyed by the text as well, so a host with a third of all
+rows is no hot key. Beside that the texts of each host are counted by their hash.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.llm import residue_model
 from sluiceway.session import cut
 
 #: A line is recurrent when at least this share of its host's distinct texts, and at least so many, hold it.
@@ -30,8 +35,6 @@ RECURRENT_SHARE = 1 / 500
 RECURRENT_ROWS = 5
 #: ... and they have on average at least so many distinct lines, itself and those free of evidence.
 COMPANY = 8.0
-#: Lines that are evidence somewhere are broadcast up to so many.
-BROADCAST_LINES = 1_000_000
 
 # --- lines
 
@@ -102,95 +105,36 @@ _ANGLE = re.compile(r"<([A-Za-z][A-Za-z_\-]{1,40})>")
 _SQUARE = re.compile(r"(?<![\w\]!])\[([A-Za-z][A-Za-z_\-]{2,40})\](?![(\[:\w])")
 _STAMPED = re.compile(r"(?<!\bthe )(?<!\bour )(?<!\ball )\b(?:TBD|T\.B\.D\.|TBC|FIXME)\b(?!\s+(?:items?|entries|entry|list|notes?|marks?|fields?|labels?|tags?|rows?)\b)", re.I)
 
-_CODE = r"(?:400|401|402|403|404|405|408|410|429|500|501|502|503|504|520|521|522)"
-_SCRIPT = re.compile(
-    r"\b(?:enable|activate|allow|turn on|switch on|aktivieren|activer|activez|active|activar|permita|habilite|autorisez)\b[^.!?]{0,40}\b(?:java ?scripts?|scripts?|cookies)\b"
-    r"|\b(?:java ?script|scripts?|cookies)\b (?:is|are|muss|müssen|must|sind|ist|está|están|est|sont)\b[^.!?]{0,20}\b(?:blocked|disabled|required|needed|off|enabled|deaktiviert|erforderlich|benötigt|desactivad\w+|désactivé\w*|requis|aktiviert)\b"
-    r"|^(?:this|the|our) (?:site|page|app|application|board|panel|wiki|view|portal)\b[^.!?]{0,20}\b(?:needs|requires|relies on|depends on) (?:java ?scripts?|scripts?|cookies)\W*$"
-    r"|^noscript\b|<noscript|\bbrowser does(?: not|n't) support\b|^turn them on in your browser\b|^update it and allow\b|\bwithout (?:java ?script|client-side rendering)\W*$|^java ?script (?:disabled|required)\b",
-    re.I,
-)
-_ERROR_IN = re.compile(rf"\((?:fehler|error|erreur|código|http) {_CODE}\)|\bpage is gone\W*$", re.I)
-#: What a line must begin with, so that it is matched at its beginning only.
-_ERROR = re.compile(
-    rf"^(?:(?:http|error|fehler|erreur|código|status|server error)\s*)?{_CODE}\b(?:\W*$|\s*[-–—:|]|\s+(?:service|gateway|bad|not|internal|forbidden|unauthori[sz]ed|too many|error|page|client|server|access)\b)"
-    r"|^(?:access|permission|zugriff|acceso|accès) (?:denied|verweigert|denegado|refusé)\W*$|^(?:page |file |seite |página )?(?:not found|forbidden|unauthori[sz]ed|nicht gefunden)\W*$"
-    r"|^(?:page|site|service|view|dashboard|content) (?:is )?(?:temporarily )?(?:unavailable|not available)\W*$|^(?:bad )?gateway (?:error|time-?out)\W*$|^bad gateway\W*$|^internal server error\W*$"
-    r"|^too many requests\W*$|^log-?in required\W*$|^(?:unexpected|unknown|fatal|internal) error\b.{0,30}$|^error code\W.{0,30}$|^error\W*$"
-    r"|^(?:oops|whoops|sorry|uh-oh|hoppla|ups)\b[ ,.!-]*(?:something|an error|we|that|this|the page)?[^.!?]{0,40}\W*$|^whoa\b.{0,40}$"
-    r"|^something went wrong\b|^(?:the )?content (?:failed|could not)\b.{0,20}\bload\b|^failed to load\b|^fehler beim laden\b|^(?:your )?session (?:has )?(?:ended|expired|timed out)\W*$"
-    r"|^the (?:connection was (?:reset|closed|refused)|backend closed the connection|server is (?:down|unavailable|overloaded)|upstream gave no answer|link may be broken)\b"
-    r"|^we (?:could not|couldn't|cannot|can't) (?:reach|find|load|open)\b|^this (?:view|page|request|site) (?:timed out|could not be|cannot be|can't be|does not exist|no longer exists)\b|^no handler for\b"
-    r"|^you (?:do not|don't) have (?:rights|permission|access)\b|^you are not (?:on the list|allowed|authori[sz]ed)\b|^(?:sign|log) in (?:again )?(?:to continue|with your)\b"
-    r"|^contact the (?:site|page) (?:owner|administrator)\b|^(?:please )?try again (?:in a few|later)\b|^(?:slow down and )?retry in 9\b|^(?:go )?back to the start page\W*$|^reload or go back\W*$|^check your network\W*$"
-    r"|^(?:la )?página no (?:encontrada|existe|disponible)\b|^vuelva al inicio\W*$|^(?:diese|die) seite (?:wurde nicht gefunden|existiert nicht|ist nicht verfügbar)\b|^zur startseite\W*$|^bitte versuchen sie es später\b"
-    r"|^(?:la )?page (?:introuvable|non trouvée|indisponible)\b|^veuillez vous (?:re)?connecter\W*$|^erreur\b.{0,4}$"
-    r"|^traceback\b|^stack trace:|^(?:uncaught )?\w+(?:error|exception):|^(?:null|nil|none|undefined|nan|n/a|\[object object\])(?: (?:null|undefined|nan))*\W*$|^loading\W*$",
-    re.I,
-)
-_FILLER_IN = re.compile(r"\blorem ipsum dolor\b|\b(?:asdf|qwer|qwerty|hjkl|blah|bla)(?: (?:asdf|qwer|qwerty|hjkl|blah|bla)\b)+|\btest test test\b|\bx{4,} x{3,}\b", re.I)
-_FILLER = re.compile(
-    r"^(?:sample|dummy|placeholder|filler|example) (?:text|content|paragraph)\b|^this is (?:a |an )?(?:dummy|sample|placeholder|example) (?:paragraph|text|page|content)\b|^click here to (?:edit|add|start)\b"
-    r"|^(?:enter|insert|add|type|write) (?:a |an |the |your |some )?(?:short |brief )?(?:description|text|title|summary|content|name)\b(?:(?! (?:to|in the form|into)\b).){0,50}(?:here|box|field|block)?\W*$"
-    r"|^replace (?:it|this|me)\b.{0,30}$|^(?:text|inhalt|beschreibung) folgt\W*$|^hier steht\b.{0,40}$|^(?:contenido|texto) de (?:ejemplo|relleno|prueba)\b|^(?:sustituir|reemplazar|remplacer|ersetzen)\W*$|^(?:texte|contenu) (?:d'exemple|à venir|de remplissage)\b"
-    r"|^new page\W*$|^start writing\b.{0,30}$|^untitled\W*$|^(?:coming soon|under construction|content goes here|text here)\W*$",
-    re.I,
-)
-# Stems of the traditional filler text, and the words without which prose of eight words or more is rare.
-_LATIN = ("lorem", "ipsum", "dolor", "amet", "elit", "orci", "quam", "dapib", "dapis", "sidus", "tempus", "velum", "nulla", "morb", "fenis", "vestr", "tembra", "pratora", "prator", "quanta", "tarque", "lumen", "consect", "adipis", "vivamus", "mauris", "turpis")
-_PROSE = frozenset(
-    "the a an of to in is are was were and or for on at by with from it its that this be as not no if when we you they after before until than then who all each both only do does did has have"
-    " der die das den dem des ein eine und oder zu im am ist sind war wird nicht mit von für auf bei nach wenn bis es wir sich"
-    " el la los las un una de del y o en es son fue no con por para que se al si su"
-    " le les des du et ou est sont a à dans pour par sur qui que ne pas ce il nous vous au aux en".split()
-)
-_LATIN_WORD = re.compile(r"[^\W\d_]+")
-_LATIN_STEM = re.compile(rf"\b(?:{'|'.join(_LATIN)})")
-
-
-def is_pseudo_latin(line: str) -> bool:
-    """Words of the traditional filler text and of its imitations, without the small words that hold prose together."""
-    low = line.casefold()
-    if not _LATIN_STEM.search(low):
-        return False
-    words = _LATIN_WORD.findall(low)
-    if len(words) < 2:
-        return False
-    stems = sum(w.startswith(_LATIN) for w in words)
-    small = sum(w in _PROSE for w in words)
-    if len(words) < 6:
-        return stems >= 2 and small == 0 and stems * 2 > len(words)
-    return stems >= 2 and stems * 8 >= len(words) and small * 10 <= len(words)
+#: Variables of the environment that prose and commands name, and parts of files in square brackets: no slots to be filled.
+# Names of such variables.
+_ENVIRONMENT = "HOME|PATH|USER|PWD|SHELL|LANG|TMPDIR|TEMP|TMP|HOSTNAME|JAVA_HOME|PYTHONPATH|APPDATA|USERPROFILE|EDITOR|TERM"
+_NAMED = re.compile(rf"\$\{{(?:{_ENVIRONMENT})\}}|%(?:{_ENVIRONMENT})%|\[[\w\-]+\](?= (?:section|stanza|header|table|block)\b| in the \w*\s?(?:ini|toml|conf|config|file)\b)")
+_COMMAND = re.compile(r"^[$#>]?\s*[a-z][\w.\-/]*(?: [\w./:=\-]+)*? --?[a-z]")
+#: A line is evidence if the classifier gives content less than the rest.
+LEAST = 0.6
 
 
 def evidence_of(line: str, closed: set[str]) -> str | None:
     """The kind of evidence in a line, quoted parts left aside; ``closed``: names of elements that the text closes."""
     bare = _QUOTED.sub(" ", line) if _QUOTE_MARK.search(line) else line
-    if _SIGN.search(bare):
-        if _PLACEHOLDER.search(bare) or _STAMPED.search(bare) or _SQUARE.search(bare):
+    if _SIGN.search(bare) and not _COMMAND.match(bare):
+        slots = _NAMED.sub(" ", bare)
+        if _PLACEHOLDER.search(slots) or _STAMPED.search(slots) or _SQUARE.search(slots):
             return "placeholder"
-        if any(m[1].casefold() not in closed for m in _ANGLE.finditer(bare)):
+        if any(m[1].casefold() not in closed for m in _ANGLE.finditer(slots)):
             return "placeholder"
-    if _SCRIPT_WORD.search(bare) and _SCRIPT.search(bare):
-        return "script"
-    bare = bare.strip()
-    if _FILLER.match(bare) or _FILLER_IN.search(bare) or is_pseudo_latin(bare):
-        return "filler"
-    if len(bare) <= 160 and (_ERROR.match(_NUMBER_IN_ERROR.sub("9", bare)) or _ERROR_IN.search(bare)):
-        return "error"
-    return None
+    kind, chance = residue_model.judge(bare)
+    return kind if chance >= LEAST else None
 
 
 # What a line must hold at all for the patterns above to be worth a look.
 _QUOTE_MARK = re.compile("[`\"'“«„]")
 _SIGN = re.compile(r"[{<\[%]|__|@@|\?\?|#[A-Z{]|[Xx]{2}[-/]|\b(?:TODO|TBD|T\.B\.D|TBC|FIXME|to be|fill in)", re.I)
-_SCRIPT_WORD = re.compile(r"script|cookie|browser|client-side|update it", re.I)
-_NUMBER_IN_ERROR = re.compile(r"(?<=retry in )\d+", re.I)
 _CLOSED = re.compile(r"</([A-Za-z][A-Za-z0-9_\-]*)>")
 
 
-def scan_lines(df: DataFrame, key: str, host: str, text: str, evidence_only: bool) -> DataFrame:
-    """One row per distinct line of each record: ``key``, ``host``, ``line`` (hash), ``kind`` of evidence, ``rest`` (hash of the
+def scan_lines(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
+    """One row per distinct line with evidence of each record: ``key``, ``host``, ``line`` (hash), ``kind`` of evidence, ``rest`` (hash of the
     record's distinct lines free of evidence) and ``n_lines`` (how many these are, with the line itself)."""
     import pyarrow as pa
     import xxhash
@@ -203,19 +147,18 @@ def scan_lines(df: DataFrame, key: str, host: str, text: str, evidence_only: boo
                     continue
                 closed = {x.casefold() for x in _CLOSED.findall(s)} if "</" in s else set()
                 kinds = {line: evidence_of(line, closed) for line in dict.fromkeys(lines_of(s))}
-                if evidence_only:
-                    seen = {line_hash(line): kind for line, kind in kinds.items() if kind}
-                    rest, free = None, set()
-                else:
-                    seen = {}
-                    for line, kind in kinds.items():
-                        form = line_hash(line)
-                        seen[form] = seen.get(form) or kind
-                    free = {form for form, kind in seen.items() if not kind}
-                    rest = xxhash.xxh3_64_intdigest(b"".join(x.to_bytes(8, "big", signed=True) for x in sorted(free))) - (1 << 63)
+                if not any(kinds.values()):
+                    continue
+                seen: dict[int, str | None] = {}
+                for line, kind in kinds.items():
+                    form = line_hash(line)
+                    seen[form] = seen.get(form) or kind
+                free = {form for form, kind in seen.items() if not kind}
+                rest = xxhash.xxh3_64_intdigest(b"".join(x.to_bytes(8, "big", signed=True) for x in sorted(free))) - (1 << 63)
                 for line, kind in seen.items():
-                    for col, v in zip(cols, (k, h, line, kind, rest, len(free | {line}))):
-                        col.append(v)
+                    if kind:
+                        for col, v in zip(cols, (k, h, line, kind, rest, len(free) + 1)):
+                            col.append(v)
             types = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "host", "line", "kind", "rest", "n_lines"])
 
@@ -223,20 +166,15 @@ def scan_lines(df: DataFrame, key: str, host: str, text: str, evidence_only: boo
     return df.select(key, F.col(host).cast("string"), text).mapInArrow(scan, f"key {kind}, host string, line bigint, kind string, rest bigint, n_lines int")
 
 
-def boilerplate(
-    df: DataFrame, key: str, host: str, text: str, share: float = RECURRENT_SHARE, rows: int = RECURRENT_ROWS, company: float = COMPANY, among: DataFrame | None = None
-) -> DataFrame:
-    """The recurrent lines of each host, of those in ``among`` (``line``) if given: ``host``, ``line`` (hash), ``records``.
+def boilerplate(marked: DataFrame, df: DataFrame, host: str, text: str, share: float = RECURRENT_SHARE, rows: int = RECURRENT_ROWS, company: float = COMPANY) -> DataFrame:
+    """The recurrent lines of each host, of those ``marked`` by ``scan_lines``: ``host``, ``line`` (hash), ``records``.
 
     Copies count once: a line's ``records`` are the different sets of lines free of evidence that it stands amid, a host's
     records its different texts."""
     present = df.where(F.col(text).isNotNull())
     per_host = present.groupBy(F.col(host).cast("string").alias("host")).agg(F.countDistinct(F.xxhash64(text)).alias("host_records"))
-    lines = scan_lines(df, key, host, text, evidence_only=False).select("host", "line", "rest", "n_lines")
-    if among is not None:
-        lines = lines.join(among, "line", "left_semi")
     counts = (
-        lines.groupBy("host", "line", "rest").agg(F.max("n_lines").alias("n_lines"))
+        marked.groupBy("host", "line", "rest").agg(F.max("n_lines").alias("n_lines"))
         .groupBy("host", "line").agg(F.count("*").alias("records"), F.sum("n_lines").alias("company"))
         .where((F.col("records") >= rows) & (F.col("company") >= company * F.col("records")))
     )
@@ -252,10 +190,8 @@ def find_residue(
     Null and blank texts hold no evidence; a null host is a host of its own; repeated rows
     of one key give one row; an empty table gives none; other columns are not read.
     """
-    marked = cut(scan_lines(df, key, host, text, evidence_only=True).select("key", "host", "line", "kind"))
-    among = cut(marked.select("line").distinct())
-    among = F.broadcast(among) if among.count() <= BROADCAST_LINES else among
-    known = boilerplate(df, key, host, text, share, rows, company, among).select(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "line")
+    marked = cut(scan_lines(df, key, host, text))
+    known = boilerplate(marked, df, host, text, share, rows, company).select(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "line")
     marked = marked.select("key", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "line", "kind")
     left = marked.join(known, ["host", "no_host", "line"], "left_anti")
     return left.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
