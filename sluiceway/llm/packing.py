@@ -40,27 +40,9 @@ def tokenizer(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: A run longer than this without a place to break is encoded in slices: byte-pair merging is slow on very long runs.
-_RUN = 4000
-
-
 def encode(text: str, path: str) -> list[int]:
-    """Token ids of ``text``; ids of a very long text are those of its slices, cut where the pattern breaks anyway."""
-    enc = tokenizer(path)
-    text = text.encode("utf-8", "replace").decode("utf-8")
-    if len(text) <= _RUN:
-        return enc.encode_ordinary(text)
-    out, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + _RUN)
-        if end < len(text):
-            cut = text.rfind(" ", start + 1, end)
-            while cut > start and text[cut - 1].isspace():
-                cut -= 1
-            end = cut if cut > start else end
-        out += enc.encode_ordinary(text[start:end])
-        start = end
-    return out
+    """Token ids of the whole of ``text``; what has no UTF-8 form (lone surrogates) is read as a question mark."""
+    return tokenizer(path).encode_ordinary(text.encode("utf-8", "replace").decode("utf-8"))
 
 
 def token_sizes(df: DataFrame, key: str, text: str, path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:

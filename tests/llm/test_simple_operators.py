@@ -142,3 +142,14 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), "doc_id", "text").count() == 0
     with pytest.raises(ValueError):
         packing.pack_sizes([300], 256)
+
+
+def test_encode_whole_texts():
+    """A run without blanks longer than any slice gets the tokenizer's own count."""
+    import random
+
+    from sluiceway.llm import packing
+
+    rng = random.Random(1)
+    for text in ("a" * 9000, "".join(rng.choice("abcdefgh") for _ in range(9000)), "word " * 3000):
+        assert packing.encode(text, packing.TOKENIZER) == packing.tokenizer(packing.TOKENIZER).encode_ordinary(text)
