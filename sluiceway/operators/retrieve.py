@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from sluiceway.config import EngineConfig
 from sluiceway.functions import text as X
 from sluiceway.operators.corpus import idf
-from sluiceway.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, cut, plan_bytes
+from sluiceway.session import BROADCAST_LIMIT_BYTES, broadcast_if_few, broadcast_if_small, cut, plan_bytes
 
 PLACES = 6
 
@@ -38,16 +38,31 @@ def bm25(queries: DataFrame, post: DataFrame, freq: DataFrame, stats: DataFrame,
     return hit.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), PLACES).alias("bm25"))
 
 
-def tfidf_cosine(queries: DataFrame, post: DataFrame, freq: DataFrame, stats: DataFrame) -> DataFrame:
-    """``query_id``, ``chunk_id``, ``cosine`` of smoothed TF-IDF vectors; terms that no chunk holds don't count."""
+def term_weights(freq: DataFrame, stats: DataFrame) -> DataFrame:
+    """``term``, ``w``: the smoothed inverse document frequency."""
     w = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
-    weights = freq.join(F.broadcast(stats.select("n"))).select("term", w.alias("w"))
-    d = post.join(weights, "term").select("chunk_id", "term", (F.col("tf") * F.col("w")).alias("dw"))
-    norms = d.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
-    q = query_terms(queries).join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("w")).alias("qw"))
+    return freq.join(F.broadcast(stats.select("n"))).select("term", w.alias("w"))
+
+
+def chunk_norms(post: DataFrame, freq: DataFrame, stats: DataFrame) -> DataFrame:
+    """``chunk_id``, ``dn``: the length of each chunk's TF-IDF vector, whatever is asked.
+
+    ``freq`` must be written already: it is sent to where the postings are if it is counted to be small enough, and then postings aren't
+    shuffled by their skewed terms; beyond, the join is Spark's own."""
+    d = post.join(broadcast_if_few(term_weights(freq, stats)), "term")
+    return d.groupBy("chunk_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("w"), F.lit(2.0)))).alias("dn"))
+
+
+def tfidf_cosine(queries: DataFrame, post: DataFrame, freq: DataFrame, stats: DataFrame, norms: DataFrame | None = None) -> DataFrame:
+    """``query_id``, ``chunk_id``, ``cosine`` of smoothed TF-IDF vectors; terms that no chunk holds don't count.
+
+    Of the postings only those of asked terms are joined. ``norms``: those of ``chunk_norms``, where they are at hand."""
+    norms = chunk_norms(post, freq, stats) if norms is None else norms
+    q = cut(query_terms(queries).join(term_weights(freq, stats), "term").select("query_id", "term", "w", (F.col("qtf") * F.col("w")).alias("qw")))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = d.join(broadcast_if_small(q), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("dw") * F.col("qw")).alias("dot"))
-    return dots.join(norms, "chunk_id").join(broadcast_if_small(qn), "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), PLACES).alias("cosine"))
+    hit = post.join(broadcast_if_few(q), "term")
+    dots = hit.groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("w") * F.col("qw")).alias("dot"))
+    return dots.join(norms, "chunk_id").join(qn, "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), PLACES).alias("cosine"))
 
 
 def top_k(scored: DataFrame, score: str, k: int, ties: str = "chunk_id") -> DataFrame:
@@ -93,7 +108,7 @@ def candidates(queries: DataFrame, post: DataFrame, freq: DataFrame, stats: Data
     sides = broadcast_if_small(qn.join(lights, "query_id", "left"))
 
     # what is known of a chunk whatever the query: its norm, and the light words that it holds
-    weights = freq.join(F.broadcast(stats.select("n"))).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("dw"))
+    weights = broadcast_if_few(term_weights(freq, stats).withColumnRenamed("w", "dw"))
     light_terms = q.where("light").select("term", F.lit(True).alias("is_light")).distinct()
     d = post.join(weights, "term").join(broadcast_if_small(light_terms), "term", "left")
     held = F.map_from_entries(F.collect_list(F.when(F.col("is_light"), F.struct("term", "tf"))))

@@ -14,7 +14,11 @@ from sluiceway.operators.timestamps import normalise_timestamps
 from sluiceway.session import cut
 
 # Phrases that ask for a contact.
-CONTACT_PHRASES = ("rotation contact email", "contact email", "rotation email", "oncall email", "on-call email")
+CONTACT_PHRASES = (
+    "rotation contact email", "contact email", "rotation email", "oncall email", "on-call email", "pager email", "notify email", "email address", "phone number for rotation", "rotation contact phone",
+)
+#: A session's requests are summed in stretches of so many units of ``seq`` (seconds, where it is a time).
+STRETCH = 10_000
 
 
 @dataclass
@@ -47,7 +51,7 @@ def build_corpus(docs: DataFrame, sources: DataFrame, cfg: EngineConfig = Engine
 
 
 def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(), sessions: bool = False, canaries: DataFrame | None = None, canary_pattern: str = r"CANARY-[A-Z0-9-]+", neighbours: DataFrame | None = None) -> DataFrame:
-    """One row per query (``query_id``, ``query``; with ``sessions`` also ``session_id`` and ``seq``):
+    """One row per query (``query_id``, ``query``; with ``sessions`` also ``session_id`` and ``seq``, a number or time):
     ``decision``, ``draft``, ``cited``, and the gate columns that led to it.
 
     Rankers, drafts and the contact gate read the query in words of the corpus, grounding reads it with slips put right,
@@ -94,7 +98,7 @@ def ask_batch(queries: DataFrame, c: Corpus, cfg: EngineConfig = EngineConfig(),
     out = out.withColumn("n_retrieved", F.coalesce("n_retrieved", F.lit(0)))
     out = out.withColumn("request_cost", policy.request_cost(F.col("n_retrieved")))
     if sessions:
-        out = policy.budget(out, "session_id", ("seq",), "request_cost", cfg.session_budget)
+        out = policy.budget(out, "session_id", ("seq",), "request_cost", cfg.session_budget, stretch=F.floor(F.col("seq").cast("double") / STRETCH))
     else:
         out = out.withColumn("over_budget", F.lit(False))
     out = out.withColumn("pii_action", F.when(F.col("draft").isNotNull(), hazard.action(F.col("draft"), F.col("rewritten"), CONTACT_PHRASES))).drop("rewritten")

@@ -96,9 +96,11 @@ def normalize_text(spark: SparkSession, base: str) -> DataFrame:
 
 @query("token_counts", f"SELECT term, count(*) AS occurrences, count(DISTINCT row_id) AS rows_with FROM (SELECT row_id, unnest({X.tokens_sql(N_BODY)}) AS term FROM ops_docs) GROUP BY term")
 def token_counts(spark: SparkSession, base: str) -> DataFrame:
-    t = table(spark, base, "ops_docs").select("row_id", F.explode(X.tokens(X.normalize_text(F.col("body")))).alias("term"))
-    per_row = t.groupBy("term", "row_id").agg(F.count("*").alias("c"))
-    return per_row.groupBy("term").agg(F.sum("c").alias("occurrences"), F.count("*").alias("rows_with"))
+    # in order, so that a row's first copy of a term is known within the row and counts are combined before the one shuffle
+    toks = table(spark, base, "ops_docs").select(F.array_sort(X.tokens(X.normalize_text(F.col("body")))).alias("toks"))
+    t = toks.select("toks", F.posexplode("toks").alias("i", "term"))
+    first = (F.col("i") == 0) | (F.get("toks", F.col("i") - 1) != F.col("term"))
+    return t.select("term", first.cast("int").alias("first")).groupBy("term").agg(F.count("*").alias("occurrences"), F.sum("first").alias("rows_with"))
 
 
 @query("content_tokens", f"SELECT rec_id, array_to_string(list_filter({X.tokens_sql(N_QUERY)}, lambda t: NOT list_contains({STOP}, t)), ' ') AS content FROM case_scores")
@@ -132,7 +134,7 @@ def _ranked(spark: SparkSession, base: str) -> tuple:
     """The asked queries, tokens of all chunks, postings, frequencies, statistics; tokens and postings are written once, as an index is."""
     toks = cut(corpus.tokenised(_chunks(spark, base)))
     post = cut(corpus.postings(toks))
-    return _asked(spark, base), toks, post, corpus.document_frequency(post), corpus.statistics(toks)
+    return _asked(spark, base), toks, post, cut(corpus.document_frequency(post)), cut(corpus.statistics(toks))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, chunk_id, bm25, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5")

@@ -98,6 +98,18 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: A side is broadcast by ``broadcast_if_few`` only up to so many rows, counted.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when ``df``, written before, is counted to hold at most ``rows`` rows of a few short columns. For sides that
+    a function or an ``explode`` has widened, whose size the optimiser can't see."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a broadcast only when the optimiser's size estimate is under ``limit``; otherwise leave the join to Spark."""
     from pyspark.sql import functions as F
