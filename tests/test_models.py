@@ -96,6 +96,20 @@ def test_translation_counts_every_row(spark):
     assert got == pytest.approx(want) and got["haus", "home"] > got["haus", "house"]
 
 
+def test_translation_writes_no_cells(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [(i, [f"s{k}" for k in rng.sample(range(30), 12)], [f"t{k}" for k in rng.sample(range(40), 12)]) for i in range(150)]
+    pairs = spark.createDataFrame(data, "pair int, s array<string>, t array<string>")
+    written, cut = [], train.cut
+    monkeypatch.setattr(train, "cut", lambda df: written.append(x := cut(df)) or x)
+    monkeypatch.setattr(train, "BLOCK", 300)  # many blocks
+    got = {(r.s, r.t): r.p for r in train.translation(pairs, "s", "t", rounds=3).collect()}
+    assert max(x.count() for x in written) < 150  # 150 * 13 * 12 rows of a pair, a source and a target word before
+    monkeypatch.setattr(train, "BROADCAST_ROWS", 3)  # too many words to be sent
+    joined = {(r.s, r.t): r.p for r in train.translation(pairs, "s", "t", rounds=3).collect()}
+    assert got == pytest.approx(joined) and sum(p for (s, _), p in got.items() if s == "s1") == pytest.approx(1.0)
+
+
 def test_translation_table_is_whole(spark, tmp_path):
     rows = [("alpha", f"word{a}{b}") for a in "abcdefghijklm" for b in "abcdefghijk"] + [("alpha", "often")] * 50
     spark.createDataFrame(rows, "reason string, query string").write.parquet(str(tmp_path / "case_scores.parquet"))
